@@ -39,10 +39,24 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digest(contamination(documents, _table(spark, sf_dir, "benchmark")))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, secret_spans
+
+    return digest(secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, personal_data
+
+    return digest(personal_data(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_quality_rules": op2_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op5_secret_scan": op5_secret_scan,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
