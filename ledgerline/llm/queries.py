@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality
+from . import decontaminate, near_dedup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,12 +51,19 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_quality_rules": op2_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op10_personal_data": op10_personal_data,
+    "op3_near_dedup": op3_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op3_near_dedup": near_dedup.ORACLE}
