@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -80,3 +81,9 @@ def lower_ascii(text: str) -> str:
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def freed(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; they go when the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
