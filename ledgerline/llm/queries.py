@@ -63,6 +63,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(repeated(_table(spark, sf_dir, "documents")))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_quality_rules": op2_quality_rules,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
     "op3_near_dedup": op3_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op6_html_extraction": op6_html_extraction,
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op3_near_dedup": near_dedup.ORACLE}
