@@ -69,6 +69,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encoded
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded(documents, tokenizer_file("piece_bpe_32k.model"), verify=True).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_quality_rules": op2_quality_rules,
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op6_html_extraction": op6_html_extraction,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op3_near_dedup": near_dedup.ORACLE}
