@@ -76,6 +76,16 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents, tokenizer_file("piece_bpe_32k.model"), verify=True).drop("text")
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .licences import licences
+
+    # The table has no paths: a document stands in the folder of its source and language.
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return licences(_table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_index": op1_token_index,
     "op2_quality_rules": op2_quality_rules,
@@ -86,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_sentencepiece": op7_sentencepiece,
+    "op4_licence_scan": op4_licence_scan,
 }
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op3_near_dedup": near_dedup.ORACLE}
