@@ -18,6 +18,7 @@ nothing, and an empty document table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -217,12 +218,42 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` in which windows of fewer than two items occur, unchanged."""
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def without_passages(text: str, hits: list[tuple[int, int]]) -> str:
+    """`text` without the runs of words in `hits`; white space around a cut becomes one space."""
+    raw, out, upto = text.encode(), [], 0
+    places = [m.span() for m in WORD.finditer(raw)]
+    for a, b in hits:
+        out.append(raw[upto : places[a][0]].decode().rstrip(" "))
+        upto = places[b - 1][1]
+    out.append(raw[upto:].decode())
+    return "".join(out)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """`docs` without the rows in which windows of two or more items occur; in rows with windows of one item the hit
+    passages are cut out of the text, and the length column, where there is one, is that of the new text."""
     prefix = "_leak_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    return contamination(docs, benchmark, text, prefix=prefix).where(F.size(f"{prefix}items") < 2).select(*docs.columns)
+    found = contamination(docs, benchmark, text, prefix=prefix).where(F.size(f"{prefix}items") < 2)
+    found = found.select(*docs.columns, f"{prefix}hits")
+    at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, hits = list(batch.columns[:-1]), batch.column(batch.num_columns - 1).to_pylist()
+            if any(hits):
+                old = columns[at].to_pylist()
+                new = [without_passages(t, [(x["start"], x["end"]) for x in h]) if h else t for t, h in zip(old, hits, strict=True)]
+                columns[at] = pa.array(new, columns[at].type)
+                if size is not None:
+                    columns[size] = pa.array([len(t) if h else n for t, h, n in zip(new, hits, columns[size].to_pylist(), strict=True)], columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return found.mapInArrow(run, docs.schema)
 
 
 ORACLE = r"""
