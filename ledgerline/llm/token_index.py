@@ -37,9 +37,11 @@ from .common import mixed, scratch
 MAGIC = b"LLMPH1\n\0"
 #: Bits in a level for each key that is left, and the most levels before keys are listed outright.
 GAMMA, LEVELS = 2.0, 40
-#: Entries in a worker's table of encoded strings; it is emptied when full, which costs time and changes nothing.
-CACHE = 700_000
-BATCH = 256
+#: Entries in the younger of a worker's two tables of encoded words; when it is full it becomes the older one, and the
+#: older goes. What a text's ids are does not depend on it.
+CACHE = 500_000
+#: Documents and words encoded at a time.
+BATCH, WORDS = 256, 512
 
 
 class PerfectHash:
@@ -196,29 +198,60 @@ class _Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.table: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: The same for words without a space before them.
+        self.heads: dict[str, bytes] = {"": b""}
+        self.old_heads: dict[str, bytes] = {}
+        self.feed = self._ids(["\n"])[0]
+        self.marks = dict(zip(",.!?;:", self._ids(list(",.!?;:")), strict=True))
+        # Byte 0 ends a string in a batch where the vocabulary joins it with nothing: then it is a token of its own everywhere.
+        vocabulary = self.tokenizer.get_vocab()
+        self.stop = vocabulary.get("\u0100") if sum("\u0100" in x for x in vocabulary) == 1 else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str], table: dict[str, bytes], old: dict[str, bytes], space: str) -> None:
+        """Puts the ids of space + word into `table`, for every word."""
+        words = words.difference(table)
+        table.update((w, old[w]) for w in words if w in old)
+        # letters and a mark are separate to the pre-tokenizer
+        ended = [w for w in words if w[-1:] in self.marks and w not in table and w[:-1].isalpha() and max(w) < "\u0250"]
+        need = {w[:-1] for w in ended}.union(words).difference(table, ended)
+        plain = [w for w in need if w and not w[-1].isspace() and not w[0].isspace() and "\0" not in w] if self.stop is not None else []
+        for i in range(0, len(plain), WORDS):
+            part = plain[i : i + WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([space + f"\0{space}".join(part) + "\0"], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == self.stop)
+            raw, width = ids.tobytes(), ids.itemsize
+            starts = [0, *((ends[:-1] + 1) * width).tolist()]
+            table.update((w, raw[s:e]) for w, s, e in zip(part, starts, (ends * width).tolist(), strict=True))
+        if len(plain) < len(need):
+            rest = list(need.difference(plain))
+            table.update(zip(rest, self._ids([space + w for w in rest]), strict=True))
+        table.update((w, table[w[:-1]] + self.marks[w[-1]]) for w in ended)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        table = self.table
-        if len(table) > CACHE:
-            table.clear()
-        pieces, whole = [], []
+        if len(self.table) + len(self.heads) > CACHE:
+            self.table, self.old, self.heads, self.old_heads = {}, self.table, {"": b""}, self.heads
+        lines, whole = [], []
         for k, text in enumerate(texts):
             if _crossing(text):
-                pieces.append(None)
+                lines.append(())
                 whole.append(k)
-            else:
-                head, *rest = text.split(" ")
-                pieces.append([head] * bool(head) + [" " + x for x in rest])
-        new = list(set().union(*(p for p in pieces if p)) - table.keys())
-        for i in range(0, len(new), 4096):
-            table.update(zip(new[i : i + 4096], self._ids(new[i : i + 4096]), strict=True))
-        out = [b"".join(map(table.__getitem__, p)) if p is not None else b"" for p in pieces]
-        for k in whole:
-            out[k] = self._ids([texts[k]])[0]
-        return out
+                continue
+            parts = text.split("\n")
+            # a line feed between two lines that have no white space beside it is a token of its own
+            if len(parts) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in (parts if parts[-1] else parts[:-1])):
+                parts = [text]
+            lines.append([x.split(" ") for x in parts])
+        words = set().union(*(w for text in lines for w in text))
+        firsts = {w[0] for text in lines for w in text}
+        self._learn(words, self.table, self.old, " ")
+        self._learn(firsts, self.heads, self.old_heads, "")
+        wholes = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
+        heads, get = self.heads, self.table.__getitem__
+        return [wholes[k] if k in wholes else self.feed.join([heads[w[0]] + b"".join(map(get, w[1:])) for w in text]) for k, text in enumerate(lines)]
 
 
 def encoder(path: str) -> _Encoder:
