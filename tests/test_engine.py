@@ -113,7 +113,7 @@ def test_bad_ddl(db):
 
 
 def test_metadata(db):
-    run(db, "CREATE TABLE zebra (id INTEGER)", "CREATE TABLE alpha (id INTEGER PRIMARY KEY, UNIQUE (id))", 'CREATE TABLE "select" ("from" TEXT REFERENCES z2(a))' if False else 'CREATE TABLE "select" ("from" TEXT)')
+    run(db, "CREATE TABLE zebra (id INTEGER)", "CREATE TABLE alpha (id INTEGER PRIMARY KEY, UNIQUE (id))", 'CREATE TABLE "select" ("from" TEXT)')
     assert ids(db, "SHOW TABLES") == ["zebra", "alpha", "select"]
     statement = "CREATE TABLE widgets (id INTEGER NOT NULL PRIMARY KEY AUTOINCREMENT, \"order\" TEXT NOT NULL UNIQUE DEFAULT 'it''s', z INTEGER REFERENCES alpha(id) ON DELETE SET NULL ON UPDATE CASCADE, CHECK ((\"order\" LIKE 'a\\%_%' AND (z IN (1, NULL) OR z IS NULL))))"
     run(db, statement)
@@ -194,7 +194,7 @@ def test_limits(spark):
         with pytest.raises(ResourceLimit) as e:
             db.execute(sql)
         assert e.value.message == resource
-    for i in range(3):
+    for i in range(6):
         try:
             db.execute(f"INSERT INTO t VALUES ({10**15 + i})")
         except ResourceLimit as e:
