@@ -203,15 +203,16 @@ class Database:
             values = analyzer.assignments(t, s)
             where = analyzer.where((t,), s.where, self.limits)
             count, touched = mutate.update(self.catalog, self.store, self._frame, t, values, where)
+            check = set(touched)
         else:
             values = {}
             where = analyzer.where((t,), s.where, self.limits)
-            count, touched = mutate.delete(self.catalog, self.store, self._frame, t, where)
+            count, touched, check = mutate.delete(self.catalog, self.store, self._frame, t, where)
         if not count:
             return Affected(0)
         for name, frame in touched.items():
             table = self.catalog.tables[name]
-            self.versions[name] = self.store.version(table, frame)
+            self.versions[name] = self.store.version(table, frame, self.versions[name].base is not None)
         if isinstance(s, A.Update):
             for name in touched:
                 table = self.catalog.tables[name]
@@ -219,7 +220,7 @@ class Database:
                 if k is not None and (name != t.name or k in values):
                     top = self._frame(table).agg(F.max(f"c{k}")).first()[0]
                     self.catalog.tables[name] = table.advanced(top if top is not None else 0)
-        constraints.validate(self.catalog, self._frame, touched, touched)
+        constraints.validate(self.catalog, self._frame, check, check)
         return Affected(count)
 
 

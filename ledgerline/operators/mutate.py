@@ -25,12 +25,13 @@ def restricted(t: Table, f: ForeignKey) -> ConstraintError:
     return ConstraintError(f"foreign key {quoted(t.name)}.{quoted(t.columns[f.column].name)} restricts mutation of {quoted(f.table)}")
 
 
-def delete(catalog: Catalog, store: Store, frame_of: Frames, t: Table, where: Any) -> tuple[int, dict[str, DataFrame]]:
-    """The number of direct targets, and the new rows of each touched table."""
+def delete(catalog: Catalog, store: Store, frame_of: Frames, t: Table, where: Any) -> tuple[int, dict[str, DataFrame], set[str]]:
+    """The number of direct targets, the new rows of each touched table, and the tables of which rows changed: the others only lost
+    rows, and every key that points at a lost row has had its action, so they need no further check."""
     direct = store.kept(targets(t, frame_of(t), where))
     count = direct.count()
     if count == 0:
-        return 0, {}
+        return 0, {}, set()
     gone: dict[str, DataFrame] = {t.name: direct.select(RID)}
     nulled: dict[str, dict[int, DataFrame]] = {}
     frontier = [(t, direct)]
@@ -59,7 +60,7 @@ def delete(catalog: Catalog, store: Store, frame_of: Frames, t: Table, where: An
         for column, rids in nulled.get(name, {}).items():
             frame = frame.join(rids.withColumn("_null", F.lit(True)), RID, "left").withColumn(f"c{column}", F.when(F.col("_null").isNull(), F.col(f"c{column}"))).drop("_null")
         out[name] = frame.join(gone[name], RID, "left_anti") if name in gone else frame
-    return count, out
+    return count, out, set(nulled)
 
 
 def update(catalog: Catalog, store: Store, frame_of: Frames, t: Table, values: dict[int, Any], where: Any) -> tuple[int, dict[str, DataFrame]]:

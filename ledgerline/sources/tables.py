@@ -57,8 +57,10 @@ class Store:
             return delta if v.base is None else v.base.unionByName(delta)
         return v.base
 
-    def version(self, t: Table, frame: DataFrame) -> Version:
-        """`frame` as a version without lineage: few rows come to the driver, more are written."""
+    def version(self, t: Table, frame: DataFrame, large: bool = False) -> Version:
+        """`frame` as a version without lineage: few rows come to the driver, more are written, as are those of a table known to be large."""
+        if large:
+            return Version(self.written(t, frame))
         some = frame.limit(DELTA_ROWS + 1).collect()
         if len(some) <= DELTA_ROWS:
             return Version(None, tuple(sorted(((r[0], tuple(r[1:])) for r in some), key=lambda r: r[0])))
