@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,7 +69,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    # Arrow's batches are off the heap in every task; for rows that hold texts, the usual 10,000 rows are much
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerline_path = path
     return out
@@ -87,3 +98,52 @@ def freed(df: DataFrame) -> None:
     """Lets Spark delete the shuffle files of finished steps now; they go when the driver's garbage is collected."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
+
+
+#: Bytes of text that a Python worker takes at a time, or one text if that is longer.
+SLICE_BYTES = 4_000_000
+
+
+def sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """`batch` in slices of some SLICE_BYTES of the column `text` each, so memory follows a slice and not Spark's batch."""
+    size, start = 0, 0
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    for k, n in enumerate(lengths):
+        if size and size + n > SLICE_BYTES:
+            yield batch.slice(start, k - start)
+            size, start = 0, k
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+#: Tables that operators keep in a worker between tasks, by operator: what empties them.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, empty: Callable[[], None]) -> None:
+    """Says that `operator` keeps tables in Python workers, and how to empty them."""
+    _kept[operator] = empty
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the system: workers live on when their task ends."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def worker(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, in a worker without the tables that other operators have left."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, empty in _kept.items():
+            if other != operator:
+                empty()
+        yield from run(batches)
+        trimmed()
+
+    return task

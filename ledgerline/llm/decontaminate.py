@@ -24,18 +24,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, stored
+from .common import mixed, sliced, stored, worker
 
 #: Bytes that are no part of a word are spaces here, and A-Z are lower case.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 8
 ITEMS_MB = 16
-LANES, BATCH_CHARS = 2048, 4_000_000
+LANES = 2048
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -192,25 +191,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     hits = pa.array([[{"start": a, "end": b} for a, b in h] for _, h, _ in found], kinds[0])
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _, _ in found], pa.int64()), hits, pa.array([i for _, _, i in found], kinds[1])], names=out.names)
 
-        docs = docs.mapInArrow(run, out)
+        docs = docs.mapInArrow(worker(run), out)
         if k + 1 < len(blocks):
             docs = stored(docs, "hits")
     return docs
 
 
-def sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """`batch` in slices of some BATCH_CHARS bytes of text each, so memory follows one slice or one text."""
-    size, start = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
-    for k, n in enumerate(lengths):
-        if size and size + n > BATCH_CHARS:
-            yield batch.slice(start, k - start)
-            size, start = 0, k
-        size += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The contract's columns from the operator's."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
@@ -243,7 +229,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", le
     at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, at)):
             columns, hits = list(batch.columns[:-1]), batch.column(batch.num_columns - 1).to_pylist()
             if any(hits):
                 old = columns[at].to_pylist()
@@ -253,7 +239,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", le
                     columns[size] = pa.array([len(t) if h else n for t, h, n in zip(new, hits, columns[size].to_pylist(), strict=True)], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(worker(run), docs.schema)
 
 
 ORACLE = r"""

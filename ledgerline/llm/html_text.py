@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sliced, worker
+
 # In quotes, > may stand in an attribute, < may not: each < then ends the search, and time stays linear.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)([^><]*)>")
@@ -332,8 +334,8 @@ def main_text(pages: DataFrame, page: str = "html") -> DataFrame:
     kept = pages.select(*(f.name for f in fields), F.col(page).alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, b.num_columns - 1)):
             texts = [shared.value.extract(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
 
-    return kept.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return kept.mapInArrow(worker(run), T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import sliced, stored, worker
 
 _CC = ("Licensed under CC {0}.", "This work is licensed under a Creative Commons {1} International License.", "Creative Commons {1} CC {0}")
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -43,6 +43,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Proprietary": ("All rights reserved.", "Copyright, all rights reserved. Proprietary and confidential; unauthorized copying of this file is strictly prohibited."),
 } | {f"CC-{k}": tuple(t.format(f"{k[:-4]} {k[-3:]}", v) for t in _CC) for k, v in (("BY-4.0", "Attribution 4.0"), ("BY-SA-4.0", "Attribution ShareAlike 4.0"), ("BY-NC-4.0", "Attribution NonCommercial 4.0"), ("BY-ND-4.0", "Attribution NoDerivatives 4.0"), ("BY-NC-SA-4.0", "Attribution NonCommercial ShareAlike 4.0"))}
 LEAST = 0.6
+#: Up to so many directories with a licence (some 100 bytes each) are broadcast.
+BROADCAST_DIRECTORIES = 100_000
 TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 SENTENCE = re.compile(r"\n|(?<=[.!?;])\s+")
 HINTS = ("licen", "copyright", "spdx", "rights reserved", "public domain", "creative commons", "redistribut", "hereby granted", "warranty")
@@ -105,14 +107,14 @@ def frequencies(files: DataFrame, text: str = "text") -> tuple[dict[str, int], i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         n = 0
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 0)):
             n += batch.num_rows
             for t in batch.column(0).to_pylist():
                 if t:
                     counts.update(words.intersection(w.strip(b".") for w in t.encode().translate(table).split()))
         yield pa.RecordBatch.from_arrays([pa.array([None, *(w.decode() for w in counts)], pa.string()), pa.array([n, *counts.values()], pa.int64())], ["term", "n"])
 
-    rows = files.select(text).mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = files.select(text).mapInArrow(worker(run), _COUNTS).groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
     return found, found.pop(None, 0)
 
@@ -128,7 +130,7 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, at)):
             names, scores, counts, licence_files = [], [], [], []
             for p, t in zip(batch.column(place).to_pylist(), batch.column(at).to_pylist(), strict=True):
                 found = passages(t) if t else []
@@ -141,7 +143,7 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text") -> Da
                 licence_files.append(whole and best[0] is not None)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(licence_files, pa.bool_())], names=out.names)
 
-    return files.mapInArrow(run, out)
+    return files.mapInArrow(worker(run), out)
 
 
 def licences(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -153,8 +155,10 @@ def licences(files: DataFrame, path: str = "path", text: str = "text") -> DataFr
     best = F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_licence").alias("l")))
     known = own.where(F.col("licence_file") & F.col("_dir").isNotNull()).groupBy("_dir").agg(best.alias("b")).select(F.col("_dir").alias("_above"), F.col("b.l").alias("_licence"))
     parts = F.split("_dir", "/")
-    above = own.where("_dir IS NOT NULL").select("_dir").distinct().select("_dir", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_depth", "_above"))
-    # the deepest ancestor that has a licence file, itself first
+    above = own.where("_dir IS NOT NULL").select("_dir").distinct().select("_dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_depth", "_above"))
+    # the root, of no parts, is above all; the deepest ancestor that has a licence file, itself first
     nearest = above.join(known, "_above").groupBy("_dir").agg(F.max(F.struct("_depth", "_above", "_licence")).alias("n")).select("_dir", F.col("n._above").alias("_from"), F.col("n._licence").alias("_licence"))
-    out = own.join(nearest, "_dir", "left")
+    # a table of its own: a directory with a third of the files can then be split by the join, or the few rows be broadcast
+    nearest = stored(nearest, "nearest")
+    out = own.join(F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRECTORIES else nearest, "_dir", "left")
     return out.withColumns({"licence": F.coalesce("own_licence", "_licence"), "inherited_from": F.when(F.col("own_licence").isNull(), F.col("_from"))}).drop("_dir", "_from", "_licence")

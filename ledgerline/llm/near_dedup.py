@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, stored
+from .common import keeps, mixed, sliced, stored, worker
 
 #: Registers, rows in a band, bands. Two sets of similarity 0.85 share no band once in 10**9.
 REGISTERS, ROWS = 160, 5
@@ -55,13 +55,14 @@ class _Numbers(dict):
     """64-bit numbers of words, each hashed once; emptied when large, which changes no number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = x = xxhash.xxh3_64_intdigest(word)
         return x
 
 
 _numbers = _Numbers()
+keeps("near", _numbers.clear)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -151,14 +152,14 @@ def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 1)):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             rows = [pa.array(range(rid, rid + len(sets)), pa.int64()), batch.column(0), pa.array([len(x) for x in sets], pa.int64())]
             rows += [pa.array([_class(x) for x in sets], pa.binary()), pa.array([registers(x).tobytes() if len(x) else None for x in sets], pa.binary())]
             rid += len(sets)
             yield pa.RecordBatch.from_arrays(rows, ["rid", "key", "n", "class", "registers"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "rid bigint, key bigint, n bigint, class binary, registers binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(worker(run, "near"), "rid bigint, key bigint, n bigint, class binary, registers binary")
 
 
 def _class(x: np.ndarray) -> bytes:
@@ -178,7 +179,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 h = mixed(h * np.uint64(65536) + regs[:, :, k], k)
             yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["bucket", "cid"])
 
-    return classes.select("cid", "registers").mapInArrow(run, "bucket bigint, cid bigint")
+    return classes.select("cid", "registers").mapInArrow(worker(run, "near"), "bucket bigint, cid bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,7 +218,7 @@ def _linked_in_chunks(rows: DataFrame, key: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, b.num_columns - 1)):
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:n] != at:
@@ -229,7 +230,7 @@ def _linked_in_chunks(rows: DataFrame, key: list[str]) -> DataFrame:
         if len(group) > 1:
             yield _links(list(flush(group)))
 
-    return rows.mapInArrow(run, _LINK)
+    return rows.mapInArrow(worker(run, "near"), _LINK)
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -270,10 +271,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def _classed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 1)):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_class(shingles(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["low", "text", "class"])
 
-    return texts.mapInArrow(run, "low bigint, text string, class binary")
+    return texts.mapInArrow(worker(run, "near"), "low bigint, text string, class binary")
 
 
 def _across(joined: DataFrame, cut: DataFrame, with_text) -> DataFrame:
@@ -294,10 +295,12 @@ def _across(joined: DataFrame, cut: DataFrame, with_text) -> DataFrame:
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` of which one document of each group stays, unchanged; of repeated rows one stays."""
     found = stored(near_duplicates(docs, key, text), "verdicts")
-    kept = found.where("kept").select(F.col(key).alias("_kept"))
-    if found.groupBy(key).count().where("count > 1").isEmpty():
-        return docs.join(kept, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
-    return docs.join(kept.distinct(), docs[key].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([key, text])
+    name = "_kept"
+    while name in docs.columns:
+        name += "_"
+    kept = found.where("kept").select(F.col(key).alias(name))
+    out = docs.join(kept, docs[key].eqNullSafe(kept[name]), "left_semi")
+    return out if found.groupBy(key).count().where("count > 1").isEmpty() else out.dropDuplicates([key, text])
 
 
 ORACLE = r"""

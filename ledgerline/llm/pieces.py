@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import keeps, worker
+
 SPACE = "▁"
 #: Zipf-Mandelbrot offset and what each piece costs besides, for models that hold ranks.
 OFFSET, EACH = 100.0, 8.0
 #: Entries in the younger of a worker's two tables of encoded words; words of a matrix; documents at a time.
-CACHE, ROWS, BATCH = 500_000, 4096, 256
+CACHE, ROWS, BATCH = 150_000, 4096, 256
 WORDS = re.compile(" +[^ ]*")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,6 +71,10 @@ class Pieces:
         self.keys, self.scores, self.ids = keys[order], scores[order], np.array([i for _, i, _ in normal], np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a key")
+        #: whether any key has these leading bits: most substrings are no pieces, and are told without a search
+        self.leading = np.zeros(1 << 18, bool)
+        self.leading[(self.keys >> np.uint64(46)).astype(np.int64)] = True
+        self.powers = np.array([pow(int(_P), k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         #: a character in byte pieces costs more than any piece
         self.spelled = scores.min() * 2 - 10
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
@@ -105,20 +111,23 @@ class Pieces:
         best = np.full((size + 1, n), -np.inf)
         best[0] = 0
         back, which = np.zeros((size + 1, n), np.int32), np.full((size + 1, n), -1, np.int64)
-        literal = codes == ord(SPACE)
+        literal, last = codes == ord(SPACE), len(self.keys) - 1
         for e in range(1, size + 1):
             best[e], back[e] = best[e - 1] + self.spelled, 1
-            power = np.uint64(1)
             for k in range(1, min(self.longest, e) + 1):
-                power *= _P
+                power = self.powers[k]
                 key = h[e] - h[e - k] * power
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                score = np.where(self.keys[at] == key, best[e - k] + self.scores[at], -np.inf)
+                rows = np.flatnonzero(self.leading[(key >> np.uint64(46)).astype(np.int64)])
+                key = key[rows]
+                at = np.minimum(np.searchsorted(self.keys, key), last)
+                good = self.keys[at] == key
                 if k == 1:
-                    score[literal[:, e - 1]] = -np.inf
-                better = score > best[e]
-                if better.any():
-                    best[e][better], back[e][better], which[e][better] = score[better], k, self.ids[at[better]]
+                    good &= ~literal[rows, e - 1]
+                rows, at = rows[good], at[good]
+                score = best[e - k, rows] + self.scores[at]
+                better = score > best[e, rows]
+                rows = rows[better]
+                best[e, rows], back[e, rows], which[e, rows] = score[better], k, self.ids[at[better]]
         # one path for all words: each still at position e takes its piece
         at, parts = np.full(n, size), []
         while (on := np.flatnonzero(at > 0)).size:
@@ -159,6 +168,14 @@ class Pieces:
 _loaded: dict[str, Pieces] = {}
 
 
+def _empty() -> None:
+    for p in _loaded.values():
+        p.table, p.old = {}, {}
+
+
+keeps("pieces", _empty)
+
+
 def pieces(path: str) -> Pieces:
     if path not in _loaded:
         _loaded[path] = Pieces(path)
@@ -189,7 +206,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", v
                     rows.append(pa.array([p.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *rows], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(worker(run, "pieces"), out)
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -204,7 +221,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -
             texts = [None if x is None else p.decode(np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(texts, pa.string())], names=[*(f.name for f in fields), text])
 
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType())]))
+    return rows.mapInArrow(worker(run, "pieces"), T.StructType([*fields, T.StructField(text, T.StringType())]))
 
 
 def brute_force(p: Pieces, word: str) -> float:

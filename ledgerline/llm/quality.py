@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import sliced, stored, worker
 
 SPACES, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 #: Groups with fewer documents borrow a wider sketch.
@@ -73,11 +73,11 @@ def measured(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, at)):
             rows = np.array([counts_of(t) for t in batch.column(at).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def base_failed(prefix: str = "") -> Column:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import sliced, worker
+
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
@@ -111,12 +113,12 @@ def secret_spans(docs: DataFrame, text: str = "text", prefix: str = "") -> DataF
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, at)):
             found = [_all(t) if t else [] for t in batch.column(at).to_pylist()]
             column = pa.array([[{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in x] for x in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, spans)]))
+    return docs.mapInArrow(worker(run), T.StructType([*docs.schema.fields, T.StructField(name, spans)]))
 
 
 def _all(text: str) -> list[tuple[int, int, int]]:
@@ -137,7 +139,7 @@ def without_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars"
     at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, at)):
             old = batch.column(at).to_pylist()
             spans = [_all(t) if t else [] for t in old]
             if any(spans):
@@ -149,7 +151,7 @@ def without_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars"
                 batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(worker(run), docs.schema)
 
 
 def brute_force(text: str | None) -> tuple[int, int, int, str]:

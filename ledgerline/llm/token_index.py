@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, scratch
+from .common import keeps, mixed, scratch, worker
 
 MAGIC = b"LLMPH1\n\0"
 #: Bits in a level for each key that is left, and the most levels before keys are listed outright.
@@ -254,6 +254,14 @@ class _Encoder:
         return [wholes[k] if k in wholes else self.feed.join([heads[w[0]] + b"".join(map(get, w[1:])) for w in text]) for k, text in enumerate(lines)]
 
 
+def _empty() -> None:
+    for e in _encoders.values():
+        e.table, e.old, e.heads, e.old_heads = {}, {}, {"": b""}, {}
+
+
+keeps("ids", _empty)
+
+
 def encoder(path: str) -> _Encoder:
     if path not in _encoders:
         _encoders[path] = _Encoder(path)
@@ -301,7 +309,7 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, end_id: int | None =
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(keys)]), pa.array([int(lens.sum())]), pa.array(ends[:1], pa.int64()), pa.array(ends[1:], pa.int64())], ["name", "documents", "ids", "first_key", "last_key"])
 
     # One row for each shard comes to the driver, never one for each document.
-    return sorted((r.asDict() for r in rows.mapInArrow(write, _SHARDS).collect()), key=lambda r: r["name"])
+    return sorted((r.asDict() for r in rows.mapInArrow(worker(write, "ids"), _SHARDS).collect()), key=lambda r: r["name"])
 
 
 def read_store(spark: SparkSession, root: str, manifest: list[dict]) -> DataFrame:
@@ -324,7 +332,7 @@ def read_store(spark: SparkSession, root: str, manifest: list[dict]) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, counts, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame(rows, "name string, base long")
-    return shards.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(1, len(rows))).mapInArrow(worker(read, "ids"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def get(root: str, manifest: list[dict], key: int) -> np.ndarray | None:
