@@ -253,7 +253,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = docs.select(F.col(key).cast("long").alias("low"), F.col(text).alias("text")).where("text is not null")
 
     def with_text(need: DataFrame) -> DataFrame:
-        return _classed(texts).join(need.join(known, "cid").withColumnRenamed("low", "_low"), "class").where(F.col("low").eqNullSafe(F.col("_low"))).drop("class", "low", "_low")
+        # by sorting at every size: what needs texts grows with the documents, and small inputs then foretell large ones
+        return _classed(texts).join(need.join(known, "cid").withColumnRenamed("low", "_low").hint("merge"), "class").where(F.col("low").eqNullSafe(F.col("_low"))).drop("class", "low", "_low")
 
     need = member.unionByName(centre).withColumns({"side": F.lit(None).cast("int"), "label": F.col("cid")})
     links = _linked_in_chunks(with_text(need), ["c", "chunk"])
@@ -299,7 +300,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     while name in docs.columns:
         name += "_"
     kept = found.where("kept").select(F.col(key).alias(name))
-    out = docs.join(kept, docs[key].eqNullSafe(kept[name]), "left_semi")
+    out = docs.join(kept.hint("merge"), docs[key].eqNullSafe(kept[name]), "left_semi")
     return out if found.groupBy(key).count().where("count > 1").isEmpty() else out.dropDuplicates([key, text])
 
 
