@@ -31,14 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, mixed, stored
+from .common import freed, mixed, sliced, stored, worker
 
 LENGTH, K = 200, 64
 W = LENGTH - K + 1
 #: Contexts of equal leading bytes that are compared in one task; larger groups are counted as rows.
 GROUP = 50_000
+#: Contexts that are worked on together, and windows fingerprinted at a time.
+TOGETHER, CELLS = 2000, 300_000
 #: Bytes of text that are worked on at a time; longer texts are cut with enough overlap for anchors and contexts.
-BLOCK, OVERLAP = 1 << 20, 512
+BLOCK, OVERLAP = 1 << 19, 512
 _P = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -139,7 +141,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
     """lead, context, who, at: a row for each anchor; `at` holds the text's length and the place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 0)):
             for raw, bounds, who, length, place, first, last in _pieces(batch.column(0).to_pylist()):
                 at, text, lead, context = anchors(raw, bounds)
                 own = at - bounds[text]
@@ -148,11 +150,12 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 rows = [lead.view(np.int64), context.view(np.int64), who[text], (length[text] << 32) | (at + place[text])]
                 yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["lead", "context", "who", "at"])
 
-    return docs.select("text").mapInArrow(run, "lead bigint, context bigint, who bigint, at bigint")
+    return docs.select("text").mapInArrow(worker(run), "lead bigint, context bigint, who bigint, at bigint")
 
 
-#: What becomes of an anchor: inside a repeat; to be compared by its context; both (the one that stands for equal contexts); undecided at a boundary.
-INSIDE, COMPARE, BOTH, BOUNDARY = 1, 2, 3, 0
+#: What becomes of an anchor: inside a repeat; to be compared by its context; both (the one that stands for equal contexts). At a
+#: bucket's ends: undecided alone; the one that stands for several of equal context, which are inside a repeat already.
+INSIDE, COMPARE, BOTH, ALONE, MANY = 1, 2, 3, 0, 4
 _MARKED = "lead bigint, context bigint, who bigint, at bigint, mark int"
 
 
@@ -185,20 +188,29 @@ def _bucketed(found: DataFrame) -> DataFrame:
             if first or edge == rows[0, 0]:
                 start = int(np.searchsorted(rows[:, 0], rows[0, 0], "right"))
                 edge, first = rows[0, 0], False
-                yield _marked(rows[:start], np.zeros(start, np.int32))
+                yield _edge(rows[:start])
             if start < last:
                 yield _marked(rows[start:last], _marks(rows[start:last, 0], rows[start:last, 1]))
             held = rows[max(start, last) :]
-            if len(held) > 200_000:
+            if len(held) > 100_000:
                 edge = held[0, 0]
-                yield _marked(held, np.zeros(len(held), np.int32))
+                yield _edge(held)
                 held = None
         if held is not None and len(held):
-            yield _marked(held, np.zeros(len(held), np.int32))
+            yield _edge(held)
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = found.repartitionByRange(n, "lead", "context", "who", "at").sortWithinPartitions("lead", "context", "who", "at")
-    return rows.mapInArrow(run, _MARKED)
+    return rows.mapInArrow(worker(run), _MARKED)
+
+
+def _edge(rows: np.ndarray) -> pa.RecordBatch:
+    """Rows of one group at a bucket's end: equal contexts seen here are decided, and one of them stands for them at the boundary."""
+    run = np.ones(len(rows), bool)
+    run[1:] = rows[1:, 1] != rows[:-1, 1]
+    twice = np.bincount(np.cumsum(run) - 1)[np.cumsum(run) - 1] > 1
+    first = run & twice
+    return _marked(np.concatenate([rows, rows[first]]), np.concatenate([np.where(twice, INSIDE, ALONE), np.full(first.sum(), MANY)]).astype(np.int32))
 
 
 def _marked(rows: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
@@ -207,8 +219,8 @@ def _marked(rows: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Marks of the groups at the buckets' ends: the same rule, by aggregation and joins."""
-    runs = stored(rows.groupBy("lead", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("who", "at")).alias("one")), "runs")
+    """Marks of the groups at the buckets' ends, a row for each context and bucket: the same rule, by aggregation and joins."""
+    runs = stored(rows.groupBy("lead", "context").agg(F.sum(F.when(F.col("mark") == MANY, 2).otherwise(1)).alias("n"), F.min(F.struct("who", "at")).alias("one")), "runs")
     groups = runs.groupBy("lead").agg(F.count(F.lit(1)).alias("several"))
     runs = runs.join(groups, "lead").where("n > 1 OR several > 1")
     x = rows.drop("mark").join(runs, ["lead", "context"])
@@ -222,12 +234,12 @@ def _identified(docs: DataFrame, key: bool) -> DataFrame:
     names = ["key", "raw", "who", "length"] if key else ["raw", "who", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, int(key))):
             raw = [(t or "").encode() for t in batch.column(int(key)).to_pylist()]
             rows = [pa.array(raw, pa.binary()), pa.array([_identity(r) for r in raw], pa.int64()), pa.array([len(r) for r in raw], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: int(key)], *rows], names=names)
 
-    return (docs if key else docs.select("text")).mapInArrow(run, "key bigint, " * key + "raw binary, who bigint, length bigint")
+    return (docs if key else docs.select("text")).mapInArrow(worker(run), "key bigint, " * key + "raw binary, who bigint, length bigint")
 
 
 def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -237,33 +249,38 @@ def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
     rows = _identified(docs, False).join(wanted, ["who", "length"]).select("raw", "who", "length", F.col("a.at").alias("ats"), F.col("a.lead").alias("leads"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 0)):
             for raw, who, length, ats, leads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 low = [max(0, a - W + 1) for a in ats]
                 rows = [pa.array(leads, pa.int64()), pa.array([who] * len(ats), pa.int64()), pa.array([length << 32 | a for a in ats], pa.int64()), pa.array([a - s for a, s in zip(ats, low, strict=True)], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array([raw[s : a + LENGTH] for a, s in zip(ats, low, strict=True)], pa.binary())], ["lead", "who", "at", "before", "bytes"])
 
-    return rows.mapInArrow(run, "lead bigint, who bigint, at bigint, before int, bytes binary")
+    return rows.mapInArrow(worker(run), "lead bigint, who bigint, at bigint, before int, bytes binary")
 
 
-def _windows(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each offset: which contexts have the window, and its fingerprint."""
+def _windows(group: list[tuple], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows at offsets low..high - 1 around each context's anchor that lie inside it: context, offset, fingerprint."""
     before, size = np.array([g[2] for g in group]), np.array([len(g[3]) for g in group])
     first = np.cumsum(size) - size
+    o = np.arange(low, high)
+    which, k = np.nonzero((before[:, None] >= o) & (size[:, None] - before[:, None] + o >= LENGTH))
+    start = first[which] + before[which] - o[k]
     hashes = _Hashes(np.frombuffer(b"".join(g[3] for g in group), np.uint8))
-    for o in range(W):
-        have = np.flatnonzero((before >= o) & (size - before + o >= LENGTH))
-        start = first[have] + before[have] - o
-        yield o, have, hashes.of(start, start + LENGTH)
+    # equal windows have their anchor at the same offset; the offset keeps one place seen from two anchors apart
+    return which, o[k], mixed(hashes.of(start, start + LENGTH) + o[k].astype(np.uint64), 3)
 
 
 def covered(group: list[tuple]) -> list[tuple[int, int, int, int]]:
-    """(who, length, start, end) of what repeats among contexts (who, at, before, bytes) of equal leading bytes."""
+    """(who, length, start, end) of what repeats among contexts (who, at, before, bytes); those of equal leading bytes are all there."""
     group = list({(g[0], g[1]): g for g in group}.values())
     hit = np.zeros((len(group), W + 2), np.int8)
-    for o, have, prints in _windows(group):
-        _, back, count = np.unique(prints, return_inverse=True, return_counts=True)
-        hit[have[count[back] > 1], o + 1] = 1
+    step = max(1, CELLS // len(group))
+    for low in range(0, W, step):
+        which, o, prints = _windows(group, low, min(W, low + step))
+        order = np.argsort(prints)
+        same = prints[order[1:]] == prints[order[:-1]]
+        for at in (order[1:][same], order[:-1][same]):
+            hit[which[at], o[at] + 1] = 1
     out = []
     change = np.diff(hit, axis=1)
     for i, low, high in zip(*np.nonzero(change == 1), np.nonzero(change == -1)[1], strict=True):
@@ -283,31 +300,40 @@ def _compared(contexts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(5)], ["who", "length", "start", "end", "window"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, spread = None, [], False
+        # `done` holds whole groups, `group` the one that is being read; a group of GROUP contexts is spread into rows
+        at, done, group, spread = None, [], [], False
 
-        def end() -> list[tuple]:
-            if not spread:
-                return [(*x, None) for x in covered(group)] if len(group) > 1 else []
-            return [(group[i][0], group[i][1] >> 32, (group[i][1] & 0xFFFFFFFF) - o, (group[i][1] & 0xFFFFFFFF) - o + LENGTH, p) for o, have, prints in _windows(group) for i, p in zip(have.tolist(), prints.view(np.int64).tolist(), strict=True)] if group else []
+        def rows_of(part: list[tuple]) -> list[tuple]:
+            which, o, prints = _windows(part, 0, W)
+            place = [(part[i][0], part[i][1] >> 32, (part[i][1] & 0xFFFFFFFF) - k) for i, k in zip(which.tolist(), o.tolist(), strict=True)]
+            return [(who, n, start, start + LENGTH, p) for (who, n, start), p in zip(place, prints.view(np.int64).tolist(), strict=True)]
 
         for batch in batches:
-            found = []
             for lead, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if lead != at:
-                    found += end()
+                    if spread:
+                        if group:
+                            yield out(rows_of(group))
+                    elif len(group) > 1:
+                        done += group
+                    if len(done) >= TOGETHER:
+                        yield out([(*x, None) for x in covered(done)])
+                        done = []
                     at, group, spread = lead, [], False
                 group.append(tuple(rest))
-                if len(group) >= (GROUP if not spread else 2000):
+                if len(group) >= (TOGETHER if spread else GROUP):
                     spread = True
-                    for i in range(0, len(group), 2000):
-                        whole, group = group, group[i : i + 2000]
-                        yield out(end())
-                        group = whole
+                    for i in range(0, len(group), TOGETHER):
+                        yield out(rows_of(group[i : i + TOGETHER]))
                     group = []
-            yield out(found)
-        yield out(end())
+        if spread and group:
+            yield out(rows_of(group))
+        elif len(group) > 1:
+            done += group
+        if done:
+            yield out([(*x, None) for x in covered(done)])
 
-    return rows.mapInArrow(run, _INTERVAL)
+    return rows.mapInArrow(worker(run), _INTERVAL)
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,7 +342,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = stored(_anchors(docs), "anchors")
     marked = stored(_bucketed(found), "marked")
     freed(found)
-    marked = marked.where("mark > 0").unionByName(stored(_across(marked.where("mark = 0")), "marked"))
+    ends = F.col("mark").isin(ALONE, MANY)
+    marked = marked.where(~ends).unionByName(stored(_across(marked.where(ends)), "marked"))
     compared = stored(_compared(_contexts(docs, marked)), "compared")
     freed(docs)
     large = compared.where("window IS NOT NULL").distinct()
@@ -328,12 +355,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = _identified(docs, True).join(spans, ["who", "length"], "left").select("key", "raw", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 1)):
             spans = [_merged(a, b) if a else [] for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)], names=[key, "raw", "spans"])
 
-    return rows.mapInArrow(run, f"`{key}` bigint, raw binary, spans array<struct<start: bigint, end: bigint>>")
+    return rows.mapInArrow(worker(run), f"`{key}` bigint, raw binary, spans array<struct<start: bigint, end: bigint>>")
 
 
 def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -350,7 +377,7 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The contract's columns from the operator's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 1)):
             n, removed, runs, sums = [], [], [], []
             for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 ends = [0, *(x for s in spans for x in (s["start"], s["end"])), len(raw)]
@@ -360,7 +387,7 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
                 sums.append(hashlib.sha256(b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, runs)), pa.array(sums, pa.string())], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select(key, "raw", "spans").mapInArrow(run, f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return found.select(key, "raw", "spans").mapInArrow(worker(run), f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
