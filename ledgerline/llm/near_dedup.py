@@ -9,7 +9,8 @@ register about as often as their similarity says.
    is a member of that centre's star. Two classes that share a bucket are thus in one star. A star has a row for
    each member, not for each pair.
 3. Stars are cut into chunks of CHUNK members or so, each with the centre. In a chunk, a document outside the
-   largest component so far is compared with all others of other components: those whose registers make
+   largest component so far is compared with all others of other components, and in the end so are documents that
+   were in the largest of their time with each other, where they are not joined: those whose registers make
    similarity 0.85 unlikely by REJECT nats, jointly with both sets' sizes, are ruled out, and the rest are verified
    on full sets. Links leave as a forest, at most one for each member.
 4. Links are joined into components by alternating large and small stars.
@@ -128,12 +129,10 @@ def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, left: np.nd
         forest.label = np.unique(labels, return_index=True)[1][np.unique(labels, return_inverse=True)[1]]
     sizes = np.array([len(x) for x in sets], np.int64)
     sketches = np.stack([registers(x) for x in sets])
-    order = range(n) if left is None else np.flatnonzero(left)
-    for i in order:
+
+    def compare(i: int, among: np.ndarray | bool) -> None:
         label = forest.label
-        if left is None and i and label[i] == np.bincount(label).argmax():
-            continue  # every pair across components has a set outside the largest
-        at = np.flatnonzero((label != label[i]) & (DEN * np.minimum(sizes, sizes[i]) >= NUM * np.maximum(sizes, sizes[i])) & (True if left is None else ~left))
+        at = np.flatnonzero((label != label[i]) & (DEN * np.minimum(sizes, sizes[i]) >= NUM * np.maximum(sizes, sizes[i])) & among)
         at = at[~unlikely(sketches[i], sketches[at], int(sizes[i]), sizes[at])] if len(at) else at
         for k in range(0, len(at), 256):
             part = at[k : k + 256]
@@ -144,6 +143,24 @@ def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, left: np.nd
             for j in part[good]:
                 if forest.join(int(i), int(j)):
                     out.append((int(i), int(j)))
+
+    if left is not None:
+        for i in np.flatnonzero(left):
+            compare(i, ~left)
+        return out
+    skipped = np.zeros(n, bool)
+    for i in range(n):
+        if i and forest.label[i] == np.bincount(forest.label).argmax():
+            skipped[i] = True
+        else:
+            compare(i, True)
+    # the largest component changes meanwhile, so two skipped sets may be in different ones; now one is chosen in advance
+    if skipped.any():
+        again = np.flatnonzero(skipped)
+        home = again[forest.label[again] == np.bincount(forest.label[again]).argmax()][0]
+        for i in again:
+            if forest.label[i] != forest.label[home]:
+                compare(i, skipped)
     return out
 
 

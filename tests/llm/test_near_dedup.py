@@ -65,6 +65,14 @@ def test_likelihood_keeps_similar_sets():
     assert N.unlikely(N.registers(a), N.registers(far)[None, :], len(a), np.array([len(far)]))[0]
 
 
+def test_sets_skipped_while_different_components_led():
+    """Links 0-1, 1-3, 2-3 and 2-4: 1 is skipped while {0, 1} leads, 3 while {2, 3, 4} does."""
+    numbers = N.mixed(np.arange(1200, dtype=np.uint64))
+    sets = [np.sort(numbers[50 * k : 50 * k + 1000]) for k in (0, 1, 3, 2, 4)]
+    links = N.linked(sets)
+    assert len(links) == 4 and set(links) <= {(0, 1), (1, 3), (3, 1), (2, 3), (2, 4)}
+
+
 def test_one_of_each_group_stays(spark):
     df = clashing(spark)
     out = N.deduplicated(df)
