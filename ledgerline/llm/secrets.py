@@ -3,7 +3,9 @@
 Base kinds, leftmost and non-overlapping for each kind: ``assign``, ``access`` and ``hex``; a match that is too
 short is dropped and not retried. The method adds kind ``novel``: a run of 16 or more token characters with both
 letters and digits, after a sensitive word at most REACH code points before it, that overlaps no base span and
-whose marginal compressed size is at least NOVELTY bytes for each character. That size is the growth of a zstandard
+whose marginal compressed size is at least NOVELTY bytes for each character. Runs joined by single dots, as the parts
+of a web token, share what stands before the first. A run that isn't reported whole is split at its equals signs, and
+the name that a part is assigned to counts as standing before it. That size is the growth of a zstandard
 frame when the candidate is appended to the text around it, with a compressor primed by a dictionary of
 identifiers: whatever the dictionary or the surroundings hold already costs a few bytes, a random key its full
 length.
@@ -16,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -35,6 +39,11 @@ HEX = re.compile(r"[0-9a-f]+")
 _HEX_BYTES = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 _TOKEN_BYTES = bytes(120 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=~-" else 32 for c in range(256))
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+#: A part of a candidate between equals signs; those at the end are padding.
+PART = re.compile(r"[A-Za-z0-9+/_~-]{16,}(?:=+\Z)?")
+#: Runs of token characters joined by dots, onward and in reverse order.
+ONWARD = re.compile(r"(?:\.[A-Za-z0-9+/_=~-]++)*+")
+JOINED = re.compile(r"(?:\.[A-Za-z0-9+/_=~-]++)*+\.?")
 SENSITIVE = re.compile(r"(?ai)pass|pwd|secret|token|api|key|credential|auth|bearer|private|signature|session|cookie|salt")
 REACH, AROUND, NOVELTY = 40, 512, 0.8
 IDENTIFIERS = (
@@ -73,17 +82,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if b"x" * 16 not in text.encode().translate(_TOKEN_BYTES):
         return []
-    out, k, reach = [], 0, 0
+    starts, ends = [x[0] for x in base], list(accumulate((x[2] for x in base), max))
+
+    def secret(start: int, end: int, first: int) -> bool:
+        word, k = text[start:end], bisect_left(starts, end)  # of the base spans that start before it, the furthest end decides
+        if k and ends[k - 1] > start or word.isalpha() or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+            return False
+        # the parts of one token are no surroundings of each other
+        after = text[end : end + AROUND]
+        return novelty(word, text[max(0, first - AROUND) : first], after[ONWARD.match(after).end() :]) >= NOVELTY
+
+    out, last, origin, near = [], 0, 0, False
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        while k < len(base) and base[k][0] < end:  # base is in order of start: the furthest end so far decides
-            reach = max(reach, base[k][2])
-            k += 1
-        word = m[0]
-        if reach > start or word.isalpha() or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
-        if SENSITIVE.search(text, max(0, start - REACH), start) and novelty(word, text[max(0, start - AROUND) : start], text[end : end + AROUND]) >= NOVELTY:
+        first = start
+        if text.startswith(".", start - 1, start):
+            first -= JOINED.match(text[last:start][::-1]).end()
+        if last and first == last < start:  # joined to the candidate before
+            first = origin
+        else:
+            near = False
+        origin = first
+        near = near or any(SENSITIVE.search(text, max(0, at - REACH), at) for at in {first, start})
+        last = end
+        if near and secret(start, end, first):
             out.append((start, 3, end))
+        elif "=" in m[0].rstrip("="):
+            for part in PART.finditer(m[0]):
+                s, e = start + part.start(), start + part.end()
+                name = text.rfind("=", start, max(start, s - 1)) + 1 or start
+                named = bool(s > start and SENSITIVE.search(text, min(name, max(0, s - REACH)), s))
+                if (near or named) and secret(s, e, s if s > start else first):
+                    out.append((s, 3, e))
+                if e == end:
+                    near = near or named
     return out
 
 
