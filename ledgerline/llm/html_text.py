@@ -58,9 +58,11 @@ _ORDER = {g: k for k, g in enumerate(LEXICON)}
 class Page:
     """A parsed page: for each element its parent, tag, lexicon group, label in training; text runs and their elements."""
 
-    __slots__ = ("groups", "labels", "parents", "runs", "tags")
+    __slots__ = ("groups", "labelled", "labels", "parents", "runs", "tags")
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, labelled: bool = True):
+        #: whether data-y is a label; pages to extract may use the attribute for anything
+        self.labelled = labelled
         self.parents, self.tags, self.groups, self.labels = [-1], ["root"], ["none"], [0]
         #: (element, text, linked); an element of -1 is a block's edge
         self.runs: list[tuple[int, str, bool]] = []
@@ -73,7 +75,8 @@ class Page:
             for m in ATTRIBUTE.finditer(attributes):
                 value = m[2] or m[3] or m[4] or ""
                 if m[1].lower() == "data-y":
-                    label = int(value)
+                    if self.labelled:
+                        label = int(value)
                     continue
                 for w in WORD.findall(value):
                     g = _GROUP.get(w.lower())
@@ -258,7 +261,7 @@ class TreeModel:
     def extract(self, source: str | None) -> str:
         if not source:
             return ""
-        page = Page(source)
+        page = Page(source, labelled=False)
         return page.text([p >= 0.5 for p in self.marginals(page)])
 
 

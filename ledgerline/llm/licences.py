@@ -1,7 +1,9 @@
 """Licence scan: sparse TF-IDF cosine of licence passages to templates, then inheritance from the nearest ancestor directory.
 
-A file's passages are its runs of sentences and lines with licence words, wherever in the text they stand; in a licence
-file (by name, or if passages hold half its words) the whole text is a passage too. Passages and templates are sparse
+A file's blocks are its runs of paragraphs with licence words, wherever in the text they stand; a paragraph ends at a line
+without words and where comment lines begin or end. A block is matched whole, with its lines that hold no licence word;
+if nothing is found, its paragraphs are, and in a paragraph where nothing is found the runs of sentences and lines with
+licence words. In a licence file (by name, or if what is matched holds half its words) the whole text is matched too. These passages and templates are sparse
 TF-IDF vectors over the templates' words; document frequencies are counted over all files. A file's own licence is the
 template of the best cosine, if that is LEAST or more; of equal cosines the first name in alphabetical order is taken.
 A directory has the licence of its best licence file. A file without one of its own inherits from the nearest directory
@@ -48,6 +50,9 @@ BROADCAST_DIRECTORIES = 100_000
 TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 SENTENCE = re.compile(r"\n|(?<=[.!?;])\s+")
 HINTS = ("licen", "copyright", "spdx", "rights reserved", "public domain", "creative commons", "redistribut", "hereby granted", "warranty")
+#: Comments of several lines, how they begin and end; how a comment's line begins.
+COMMENTS, MARKS = (("/*", "*/"), ("<!--", "-->")), ("#", "//", "--", ";", "%")
+WORDS = re.compile(r"[A-Za-z0-9]")
 FILE_NAME = re.compile(r"(?i)^(licen[cs]e|copying|copyright|notice|unlicense)([.\-_].*)?$")
 
 
@@ -69,6 +74,45 @@ def passages(text: str) -> list[str]:
     return [*out, " ".join(run)] if run else out
 
 
+def blocks(text: str) -> list[list[str]]:
+    """Runs of paragraphs with licence words, each a list of its paragraphs."""
+    if not any(h in text.lower() for h in HINTS):
+        return []
+    out: list[list[str]] = []
+    lines: list[str] = []
+    kind, inside, joins = False, "", False
+
+    def close() -> None:
+        nonlocal joins
+        if lines:
+            paragraph = "\n".join(lines)
+            if not any(h in paragraph.lower() for h in HINTS):
+                joins = False
+            elif joins:
+                out[-1].append(paragraph)
+            else:
+                out.append([paragraph])
+                joins = True
+            lines.clear()
+
+    for line in text.split("\n"):
+        bare = line.strip()
+        opens = next((e for b, e in COMMENTS if bare.startswith(b)), "") if not inside else ""
+        comment = bool(inside or opens or bare.startswith(MARKS))
+        inside = inside or opens
+        if inside and inside in bare:
+            inside = ""
+        if not WORDS.search(bare):
+            close()
+            continue
+        if comment != kind:
+            close()
+            kind, joins = comment, False
+        lines.append(line)
+    close()
+    return out
+
+
 class Matcher:
     """TF-IDF vectors of the templates, given each word's document frequency among n files."""
 
@@ -96,6 +140,19 @@ class Matcher:
         return (self.names[k], float(scores[k])) if scores[k] >= LEAST else None
 
 
+def matched(m: Matcher, text: str) -> tuple[list[tuple[str, float]], int]:
+    """Licences found in the text's blocks, and the words of the parts that were compared."""
+    tried, words = [], 0
+    for block in blocks(text):
+        found = m.match("\n".join(block))
+        parts = [("\n".join(block), found)] if found else [(x, m.match(x)) for x in block]
+        for part, found in parts:
+            smaller = [] if found else passages(part)
+            tried += [found] if found else [f for f in map(m.match, smaller) if f]
+            words += len(part.split()) if found else sum(len(x.split()) for x in smaller)
+    return tried, words
+
+
 _COUNTS = "term string, n bigint"
 
 
@@ -134,8 +191,9 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text") -> Da
             names, scores, counts, licence_files = [], [], [], []
             for p, t in zip(batch.column(place).to_pylist(), batch.column(at).to_pylist(), strict=True):
                 found = passages(t) if t else []
-                whole = bool(p and FILE_NAME.match(p.rsplit("/", 1)[-1])) or bool(found and 2 * sum(len(x.split()) for x in found) >= len(t.split()))
-                tried = [x for x in map(m.match, [*found, *([t] if whole and t else [])]) if x]
+                tried, words = matched(m, t) if found else ([], 0)
+                whole = bool(p and FILE_NAME.match(p.rsplit("/", 1)[-1])) or bool(found and 2 * words >= len(t.split()))
+                tried += [x for x in [m.match(t)] if x] if whole and t else []
                 best = min(tried, key=lambda x: (-round(x[1], 9), x[0]), default=(None, None))
                 names.append(best[0])
                 scores.append(None if best[1] is None else round(best[1], 6))

@@ -14,6 +14,11 @@ def test_broken_pages(source):
     assert isinstance(model().extract(source), str)
 
 
+@pytest.mark.parametrize("value", ['""', '"12.5"', "abc", "'-3'"])
+def test_label_attribute_of_other_pages_is_ignored(value):
+    assert model().extract(PAGE.replace("<article>", f"<article data-y={value}>").replace("<h1>", f"<h1 data-y={value}>")) == model().extract(PAGE)
+
+
 def test_marginals_equal_enumeration():
     """Sum-product against the sum over all states of a small tree."""
     from itertools import product

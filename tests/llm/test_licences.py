@@ -1,4 +1,4 @@
-from ledgerline.llm.licences import LEAST, TEMPLATES, Matcher, licences, passages
+from ledgerline.llm.licences import LEAST, TEMPLATES, Matcher, blocks, licences, matched, passages
 
 from .data import clashing, collected, empty, frame, prose
 
@@ -19,6 +19,29 @@ def test_passages():
     assert passages(prose(4, 400)) == []
 
 
+MIT = """Copyright (c) 2015 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
+def test_wrapped_headers_are_matched_whole():
+    m = Matcher({}, 1000)
+    code = "\nimport os\n" + prose(5, 900)
+    for header in (MIT, "\n".join(f"# {x}".rstrip() for x in MIT.split("\n")), "/*\n" + "\n".join(f" * {x}".rstrip() for x in MIT.split("\n")) + "\n */"):
+        (block,) = blocks(header + "\n" + code)
+        assert len(block) == 3 and "sublicense" in block[1] and "free of charge" in block[1] and "import" not in block[-1]
+        tried, words = matched(m, header + "\n" + code)
+        assert {x[0] for x in tried} == {"MIT"} and words >= len(MIT.split())
+
+
 def test_nearest_ancestor(spark):
     files = [
         ("LICENSE", TEMPLATES["MIT"][3]), ("src/a.py", prose(1, 30)), ("src/sub/b.py", "# Licensed under the Apache License, Version 2.0.\n" + prose(2, 60)), ("vendor/COPYING", TEMPLATES["GPL-3.0"][2]),
