@@ -104,12 +104,12 @@ def freed(df: DataFrame) -> None:
 SLICE_BYTES = 4_000_000
 
 
-def sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """`batch` in slices of some SLICE_BYTES of the column `text` each, so memory follows a slice and not Spark's batch."""
+def sliced(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """`batch` in slices of some `most` bytes of the column `text` each, so memory follows a slice and not Spark's batch."""
     size, start = 0, 0
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
     for k, n in enumerate(lengths):
-        if size and size + n > SLICE_BYTES:
+        if size and size + n > most:
             yield batch.slice(start, k - start)
             size, start = 0, k
         size += n
