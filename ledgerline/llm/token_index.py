@@ -269,17 +269,14 @@ class _Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str, space: str) -> bytes:
-        b = self.bytes
-        return b"".join([b[t.id] for t in self.model.tokenize(space + (word if word.isascii() else word.translate(self.spelled)))])
-
     def _word(self, word: str, head: bool) -> bytes | None:
         """The ids of a word by its parts, or None for one that the whole library has to see."""
         table, old, space = (self.heads, self.old_heads, "") if head else (self.table, self.old, self.space)
         if (found := old.get(word)) is None:
-            if word.isalpha() and max(word) < _PLAIN_BELOW:
-                found = self._letters(word, space)
-            elif word[-1:] in self.marks and (body := word[:-1]).isalpha() and max(body) < _PLAIN_BELOW:
+            if word.isalpha() and ((plain := word.isascii()) or max(word) < _PLAIN_BELOW):
+                b = self.bytes
+                found = b"".join([b[t.id] for t in self.model.tokenize(space + (word if plain else word.translate(self.spelled)))])
+            elif word[-1:] in self.marks and (body := word[:-1]).isalpha() and (body.isascii() or max(body) < _PLAIN_BELOW):
                 # letters and a mark are separate to the pre-tokenizer
                 found = (table.get(body) or self._word(body, head)) + self.marks[word[-1]]
             elif "\n" in word:
@@ -301,11 +298,10 @@ class _Encoder:
         table = self.heads if head else self.table
         out = list(map(table.get, words))
         hard = []
-        for k, ids in enumerate(out):
-            if ids is None:
-                out[k] = self._word(words[k], head)
-                if out[k] is None:
-                    hard.append(k)
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            out[k] = self._word(words[k], head)
+            if out[k] is None:
+                hard.append(k)
         for i in range(0, len(hard), WORDS):
             part = hard[i : i + WORDS]
             for k, ids in zip(part, self._ids([("" if head else " ") + words[k] for k in part]), strict=True):
