@@ -17,16 +17,17 @@ from .plans.explain import scan_pattern
 from .results import Affected, Created, Explain, Explanation, Outcome, Rows, RowSet
 from .schema import RID, Catalog, Table
 from .sources import codec
-from .sources.tables import Store, Version
+from .sources.tables import Store, Version, encoded_rows
 from .sql import ast as A
 from .sql.parser import parse
 
 
 class Database:
-    """Statements run one at a time. Rows keep their insertion order by a hidden number."""
+    """Statements run one at a time. Rows keep their insertion order by a hidden number. The limit of a database's bytes holds at
+    every size and for load() too, so it is to be raised where tables are loaded in bulk; attached tables do not count."""
 
-    def __init__(self, spark: SparkSession, limits: L.Limits | None = None, path: str | None = None):
-        self.spark, self.limits, self.store = spark, limits or L.Limits(), Store(spark, path)
+    def __init__(self, spark: SparkSession, limits: L.Limits | None = None, path: str | None = None, store: Store | None = None):
+        self.spark, self.limits, self.store = spark, limits or L.Limits(), store or Store(spark, path)
         self.catalog, self.versions, self.next_rid = Catalog(), {}, 0
         L.check(len(codec.encoded_metadata(self.catalog)), self.limits.max_database_bytes, L.DATABASE_BYTES)
 
@@ -34,7 +35,7 @@ class Database:
         return f"Database(tables={len(self.catalog.tables)}, limits={self.limits})"
 
     def clone(self) -> Database:
-        other = Database(self.spark, self.limits, self.store._path)
+        other = Database(self.spark, self.limits, store=self.store)
         other._swap(self)
         return other
 
@@ -55,8 +56,7 @@ class Database:
         for rid, (name, values) in enumerate(read.rows):
             rows[name].append((rid, values))
         for name, t in read.catalog.tables.items():
-            v = Version(None, tuple(rows[name]))
-            db.versions[name] = v if len(v.delta) <= 5000 else Version(db.store.written(t, db.store.frame(t, v)))
+            db.versions[name] = db.store.on_driver(t, tuple(rows[name]))
         db.next_rid = len(read.rows)
         constraints.validate(db.catalog, db._frame, [n for n in rows if rows[n]], (), lambda m, rid: CorruptStorage(m, read.offsets[rid] if rid is not None else 0))
         return db
@@ -84,22 +84,22 @@ class Database:
         return out
 
     def _size(self) -> int:
-        n = len(codec.encoded_metadata(self.catalog).encode())
-        for t in self.catalog.tables.values():
-            v = self.versions[t.name]
-            if v.attached or v.base is not None:
-                return 0  # such a database lives in Parquet, not in one string
-            n += sum(len(codec.encoded_row(t, values).encode()) for _, values in v.delta)
-        return n
+        """Bytes of the one-string form; every version knows those of its rows."""
+        return len(codec.encoded_metadata(self.catalog).encode()) + sum(v.size for v in self.versions.values())
+
+    def vacuum(self) -> int:
+        """Deletes files that only earlier states of this database read. Plans made before and clones must not be used any more."""
+        return self.store.vacuum(list(self.versions.values()))
 
     # -- attached data
 
-    def attach(self, t: Table, frame: DataFrame) -> None:
-        """A read-only table over a DataFrame whose columns are c0, c1, ... of the table's types."""
+    def attach(self, t: Table, frame: DataFrame, raw: dict[int, tuple] | None = None) -> None:
+        """A read-only table over a DataFrame whose columns are c0, c1, ... of the table's types. With `raw`, the stored columns
+        that some of these are made from are there as r0, r1, ..., so that filters can be stated on them."""
         if t.name in self.catalog.tables:
             raise SchemaError(f"table {quoted(t.name)} already exists")
         self.catalog.tables[t.name] = t
-        self.versions[t.name] = Version(frame, attached=True)
+        self.versions[t.name] = Version(frame, attached=True, raw=raw or {})
 
     def load(self, t: Table, frame: DataFrame) -> None:
         """Makes a managed table from a DataFrame in bulk, with its constraints checked; row numbers follow partitions."""
@@ -107,10 +107,11 @@ class Database:
             raise SchemaError(f"table {quoted(t.name)} already exists")
         start = self.next_rid
         rows = frame.select((F.monotonically_increasing_id() + start).alias(RID), *(f"c{i}" for i in range(len(t.columns))))
-        version = Version(self.store.written(t, rows))
+        version = self.store.written(t, rows)
         other = self.clone()
         other.catalog.tables[t.name], other.versions[t.name] = t, version
         other.catalog.upgraded()
+        L.check(other._size(), self.limits.max_database_bytes, L.DATABASE_BYTES)
         constraints.validate(other.catalog, other._frame, [t.name], ())
         other.next_rid = (version.base.agg(F.max(RID)).first()[0] or 0) + 1
         self._swap(other)
@@ -171,7 +172,9 @@ class Database:
             return RowSet(r.columns, lambda ordered: self.spark.createDataFrame([], _empty(r)), [], self.limits.max_query_output_bytes)
         versions = dict(self.versions)
         frame = lambda t: self.store.frame(t, versions[t.name])
-        return RowSet(r.columns, lambda ordered: plan(r, frame, ordered), None, self.limits.max_query_output_bytes)
+        raw = [versions[t.name].raw for t in r.sources]
+        on_driver = all(versions[t.name].base is None for t in r.sources)
+        return RowSet(r.columns, lambda ordered: plan(r, frame, ordered, raw, None if on_driver else self.store), None, self.limits.max_query_output_bytes)
 
     def _mutate(self, s: Any) -> Outcome:
         """Builds the next state beside this one, validates it, then swaps; a failure leaves everything as it was."""
@@ -199,20 +202,26 @@ class Database:
         return Affected(1)
 
     def _change(self, t: Table, s: A.Update | A.Delete) -> Affected:
+        where = analyzer.where((t,), s.where, self.limits) if isinstance(s, A.Delete) else None
+        large = any(v.base is not None and not v.attached for v in self.versions.values())
+        lost: dict[str, DataFrame] = {}
         if isinstance(s, A.Update):
             values = analyzer.assignments(t, s)
             where = analyzer.where((t,), s.where, self.limits)
-            count, touched = mutate.update(self.catalog, self.store, self._frame, t, values, where)
+            count, touched = mutate.update(self.catalog, self.store, self._frame, t, values, where, large)
             check = set(touched)
         else:
             values = {}
-            where = analyzer.where((t,), s.where, self.limits)
-            count, touched, check = mutate.delete(self.catalog, self.store, self._frame, t, where)
+            count, touched, check, lost = mutate.delete(self.catalog, self.store, self._frame, t, where, large)
         if not count:
             return Affected(0)
-        for name, frame in touched.items():
-            table = self.catalog.tables[name]
-            self.versions[name] = self.store.version(table, frame, self.versions[name].base is not None)
+        for name in [*touched, *lost]:
+            table, v = self.catalog.tables[name], self.versions[name]
+            if name in lost and v.base is not None:
+                self.versions[name] = self.store.without(table, v, lost[name])
+            else:
+                frame = touched[name] if name in touched else self._frame(table).join(lost[name].select(RID), RID, "left_anti")
+                self.versions[name] = self.store.version(table, frame, v.base is not None)
         if isinstance(s, A.Update):
             for name in touched:
                 table = self.catalog.tables[name]
@@ -232,27 +241,6 @@ def _empty(r: analyzer.ResolvedSelect):
     return T.StructType([T.StructField(f"p{i}", SPARK_TYPES[c.type]) for i, c in enumerate(r.columns)])
 
 
-def encoded_rows(t: Table, frame: DataFrame) -> DataFrame:
-    """rid, record: the rows as canonical records, in Spark expressions."""
-    cells = []
-    for i, c in enumerate(t.columns):
-        x = F.col(f"c{i}")
-        if c.type == "TEXT":
-            # each character that must be escaped becomes % and six digits; % itself first
-            text = F.expr(f"array_join(transform(filter(split(c{i}, ''), ch -> ch != ''), ch -> CASE WHEN ch RLIKE '{_sql(codec.ESCAPE_CLASS)}' THEN concat('%', lpad(hex(ascii(ch)), 6, '0')) ELSE ch END), '')")
-            body = F.concat(F.lit("T"), F.when(x.rlike(codec.ESCAPE_CLASS), text).otherwise(x))
-        elif c.type == "INTEGER":
-            body = F.concat(F.lit("I"), x.cast("string"))
-        else:
-            body = F.when(x, F.lit("B1")).otherwise(F.lit("B0"))
-        cells.append(F.when(x.isNull(), F.lit("N")).otherwise(body))
-    return frame.select(F.col(RID).alias("rid"), F.concat(F.lit(f"~R|{t.name}|"), F.concat_ws("|", *cells), F.lit(";")).alias("record"))
-
-
-def _sql(pattern: str) -> str:
-    return "".join(f"\\\\u{ord(c):04x}" if ord(c) < 32 or ord(c) > 126 else c for c in pattern)
-
-
 def split_statements(text: str) -> list[str]:
     out, part, quote = [], [], None
     for c in text:
@@ -268,4 +256,4 @@ def split_statements(text: str) -> list[str]:
     return [s for s in (*out, "".join(part)) if s.strip()]
 
 
-__all__ = ["Database", "split_statements"]
+__all__ = ["Database", "encoded_rows", "split_statements"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 import operator
 import re
@@ -10,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import TypeMismatch
 from ..schema import Leaf, Node
@@ -72,6 +74,67 @@ def to_column(expression: Any, column: Callable[[tuple[int, int]], Column]) -> C
     return c.isNull() if op == "IS NULL" else c.isNotNull()
 
 
+#: How a stored column of another type is read as one of the dialect's.
+CENTS, WHOLE, DATE, MICROS = "cents", "whole", "date", "micros"
+_DAY = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}\Z")
+
+
+def implied(expression: Any, column: Callable[[tuple[int, int]], Column], raw: Callable[[tuple[int, int]], tuple | None]) -> Column | None:
+    """A predicate on stored columns that is TRUE wherever `expression` is, or None. A scan can skip by it what `expression`, stated on
+    columns that are made from them, would reject one by one. raw: the stored column, its type and its unit, or None."""
+    if isinstance(expression, Node):
+        parts = [implied(c, column, raw) for c in expression.children]
+        if expression.op == "OR" and None in [p if p is None else True for p in parts]:
+            return None
+        parts = [p for p in parts if p is not None]
+        return functools.reduce(operator.and_ if expression.op == "AND" else operator.or_, parts) if parts else None
+    found = raw(expression.column)
+    if found is None:
+        return to_column(expression, column)
+    x, kind, unit = found
+    op, value = expression.op, expression.value
+    if op == "IS NULL":
+        return x.isNull()
+    if op not in ("=", "<", "<=", ">", ">=", "IN"):
+        return x.isNotNull()
+    values = [v for v in value if v is not None] if op == "IN" else [value]
+    if not values:
+        return None
+    low, high = (min(values) if op not in ("<", "<=") else None), (max(values) if op not in (">", ">=") else None)
+    return _between(x, kind, unit, low, high)
+
+
+def _between(x: Column, kind: T.DataType, unit: str, low: Any, high: Any) -> Column | None:
+    """Stored values that can read as anything from low to high, ends included."""
+    bounds: list[Column] = []
+    if unit in (WHOLE, CENTS):
+        # one unit more on either side is more than rounding or cutting off can move a value
+        scale = 1 if unit == WHOLE else 100
+        if not isinstance(kind, T.DoubleType) or any(v is not None and abs(v) >= 1 << 50 for v in (low, high)):
+            return None
+        bounds += [] if low is None else [x >= F.lit((low - 1) / scale)]
+        bounds += [] if high is None else [x <= F.lit((high + 1) / scale)]
+        return functools.reduce(operator.and_, bounds)
+    if unit == MICROS:
+        days = [None if v is None else v // 86_400_000_000 + d for v, d in ((low, -2), (high, 2))]
+        if any(d is not None and abs(d) > 700_000 for d in days):
+            return None
+        first, last = (None if d is None else datetime.date(1970, 1, 1) + datetime.timedelta(d) for d in days)
+    else:
+        if any(v is not None and (not _DAY.match(v) or v < "0001-01-02" or v > "9999-12-30") for v in (low, high)):
+            return None
+        try:
+            first, last = (None if v is None else datetime.date.fromisoformat(v) for v in (low, high))
+        except ValueError:
+            return None
+        last = last and last + datetime.timedelta(1)
+    day = lambda d: F.lit(d.isoformat()).cast(kind)
+    bounds += [] if first is None else [x >= day(first)]
+    bounds += [] if last is None else [x <= day(last)]
+    # years that have more or fewer digits than four are in another order as text
+    return functools.reduce(operator.and_, bounds) | (x < F.lit("0001-01-01").cast(kind)) | (x >= F.lit("9999-12-31").cast(kind))
+
+
 @functools.lru_cache(256)
 def _like_regex(atoms: tuple) -> re.Pattern[str]:
     return re.compile("".join(".*" if a == ANY else "." if a == ONE else re.escape(a[0]) for a in atoms) + r"\Z", re.S)

@@ -20,9 +20,12 @@ def constraint(message: str, rid: int | None = None) -> EngineError:
 
 
 def duplicated(frame: DataFrame, column: str) -> int | None:
-    """The least row number among second occurrences, or None. Partial aggregation keeps a hot value from meeting in one task."""
-    twice = frame.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.max(RID).alias("r")).where("n > 1")
-    return twice.agg(F.min("r")).first()[0]
+    """The least row number among second occurrences, or None. Partial aggregation keeps a hot value from meeting in one task; only
+    where a value occurs twice are its rows looked at once more."""
+    twice = frame.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"), F.min(RID).alias("_first")).where("_n > 1")
+    if twice.isEmpty():
+        return None
+    return frame.join(twice, column).where(F.col(RID) > F.col("_first")).agg(F.min(RID)).first()[0]
 
 
 def validate(catalog: Catalog, frame_of: Callable[[Table], DataFrame], changed: Iterable[str], parents: Iterable[str], fail: Fail = constraint) -> None:

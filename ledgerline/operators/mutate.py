@@ -25,14 +25,15 @@ def restricted(t: Table, f: ForeignKey) -> ConstraintError:
     return ConstraintError(f"foreign key {quoted(t.name)}.{quoted(t.columns[f.column].name)} restricts mutation of {quoted(f.table)}")
 
 
-def delete(catalog: Catalog, store: Store, frame_of: Frames, t: Table, where: Any) -> tuple[int, dict[str, DataFrame], set[str]]:
-    """The number of direct targets, the new rows of each touched table, and the tables of which rows changed: the others only lost
-    rows, and every key that points at a lost row has had its action, so they need no further check."""
-    direct = store.kept(targets(t, frame_of(t), where))
+def delete(catalog: Catalog, store: Store, frame_of: Frames, t: Table, where: Any, large: bool) -> tuple[int, dict[str, DataFrame], set[str], dict[str, DataFrame]]:
+    """The number of direct targets, the new rows of each table of which rows changed, the names of these, and of the tables that only
+    lost rows these rows: every key that points at a lost row has had its action, so they need no further check."""
+    direct = store.kept(targets(t, frame_of(t), where), large)
     count = direct.count()
     if count == 0:
-        return 0, {}, set()
+        return 0, {}, set(), {}
     gone: dict[str, DataFrame] = {t.name: direct.select(RID)}
+    lost: dict[str, DataFrame] = {t.name: direct}
     nulled: dict[str, dict[int, DataFrame]] = {}
     frontier = [(t, direct)]
     while frontier:
@@ -46,26 +47,27 @@ def delete(catalog: Catalog, store: Store, frame_of: Frames, t: Table, where: An
                 if not held.isEmpty():
                     raise restricted(child, f)
             elif f.on_delete == CASCADE:
-                new = store.kept(hit.join(gone[child.name], RID, "left_anti") if child.name in gone else hit)
+                new = store.kept(hit.join(gone[child.name], RID, "left_anti") if child.name in gone else hit, large)
                 if not new.isEmpty():
-                    gone[child.name] = store.kept(gone[child.name].unionByName(new.select(RID))) if child.name in gone else new.select(RID)
+                    gone[child.name] = store.kept(gone[child.name].unionByName(new.select(RID)), large) if child.name in gone else new.select(RID)
+                    lost[child.name] = lost[child.name].unionByName(new) if child.name in lost else new
                     frontier.append((child, new))
             elif f.on_delete == SET_NULL:
                 marked = nulled.setdefault(child.name, {})
                 now = hit.select(RID)
-                marked[f.column] = store.kept(marked[f.column].unionByName(now).distinct() if f.column in marked else now)
+                marked[f.column] = store.kept(marked[f.column].unionByName(now).distinct() if f.column in marked else now, large)
     out: dict[str, DataFrame] = {}
-    for name in dict.fromkeys([*gone, *nulled]):
+    for name in nulled:
         frame = frame_of(catalog.tables[name])
         for column, rids in nulled.get(name, {}).items():
             frame = frame.join(rids.withColumn("_null", F.lit(True)), RID, "left").withColumn(f"c{column}", F.when(F.col("_null").isNull(), F.col(f"c{column}"))).drop("_null")
         out[name] = frame.join(gone[name], RID, "left_anti") if name in gone else frame
-    return count, out, set(nulled)
+    return count, out, set(nulled), {name: rows for name, rows in lost.items() if name not in nulled}
 
 
-def update(catalog: Catalog, store: Store, frame_of: Frames, t: Table, values: dict[int, Any], where: Any) -> tuple[int, dict[str, DataFrame]]:
+def update(catalog: Catalog, store: Store, frame_of: Frames, t: Table, values: dict[int, Any], where: Any, large: bool) -> tuple[int, dict[str, DataFrame]]:
     """The number of matched rows, and the new rows of each touched table."""
-    direct = store.kept(targets(t, frame_of(t), where))
+    direct = store.kept(targets(t, frame_of(t), where), large)
     count = direct.count()
     if count == 0:
         return 0, {}
@@ -78,7 +80,7 @@ def update(catalog: Catalog, store: Store, frame_of: Frames, t: Table, values: d
     if t.primary_key in values and catalog.inbound(t.name):
         key = F.col(f"c{t.primary_key}")
         moved = direct.where(key != F.lit(values[t.primary_key])).select(key.alias("_old"), F.lit(values[t.primary_key]).cast(t.struct[t.primary_key + 1].dataType).alias("_new"))
-        frontier.append((t, store.kept(moved)))
+        frontier.append((t, store.kept(moved, large)))
     while frontier:
         parent, moved = frontier.pop(0)
         if moved.isEmpty():
@@ -93,7 +95,7 @@ def update(catalog: Catalog, store: Store, frame_of: Frames, t: Table, values: d
                 if not hit.isEmpty():
                     raise restricted(child, f)
                 continue
-            hit = store.kept(hit.select(RID, "_old", "_new"))
+            hit = store.kept(hit.select(RID, "_old", "_new"), large)
             fresh = hit
             if at in overlays:
                 now = overlays[at].withColumnRenamed("_new", "_now").withColumn("_set", F.lit(True))
@@ -104,8 +106,8 @@ def update(catalog: Catalog, store: Store, frame_of: Frames, t: Table, values: d
                 fresh = both.where(F.col("_set").isNull()).select(RID, "_old", "_new")
                 if fresh.isEmpty():
                     continue
-                fresh = store.kept(fresh)
-                overlays[at] = store.kept(overlays[at].unionByName(fresh.select(RID, "_new")))
+                fresh = store.kept(fresh, large)
+                overlays[at] = store.kept(overlays[at].unionByName(fresh.select(RID, "_new")), large)
             elif not hit.isEmpty():
                 overlays[at] = hit.select(RID, "_new")
             if child.primary_key == f.column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .database import Database
 from .errors import EngineError
+from .limits import Limits
 from .schema import Column, ForeignKey, Table
 from .sources.csv_import import load_csv, statements
 from .sources.parquet import WHOLE, attach_parquet
 
+#: For tables of any size.
+BULK = Limits(max_database_bytes=1 << 62)
 UNITS = {"lineitem": {"l_quantity": WHOLE}, "events": {"ts": "micros"}}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,7 +154,7 @@ in_memory("fk_blocks", [*family("ON DELETE CASCADE"), "!INSERT INTO c VALUES (20
 def delete_cascade_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers, orders and lines as managed tables; one DELETE takes a nation's customers and all that hangs on them."""
     source = _database(spark, sf_dir, "customer", "orders", "lineitem")
-    db = Database(spark)
+    db = Database(spark, BULK)
     keys = {"customer": (("c_custkey", "c_nationkey"), ()), "orders": (("o_orderkey", "o_custkey"), ((1, "customer"),)), "lineitem": (("l_orderkey", "l_linenumber", "l_quantity"), ((0, "orders"),))}
     for name, (columns, foreign) in keys.items():
         rows = source.query(f"SELECT {', '.join(columns)} FROM {name}").dataframe
@@ -199,7 +203,7 @@ def encode_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a canonical record, by Spark expressions."""
     source = _database(spark, sf_dir, "orders")
     t = source.catalog.tables["orders"]
-    db = Database(spark)
+    db = Database(spark, BULK)
     db.load(t, source.versions["orders"].base)
     return db.encoded_frame().select("record")
 
@@ -225,31 +229,213 @@ def csv_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bulk importer, from files that Spark writes and reads."""
     from .sources.tables import Store
 
-    root = f"{Store(spark).path}/nation.csv"
-    spark.read.parquet(f"{sf_dir}/nation.parquet").write.mode("overwrite").option("header", True).csv(root)
-    db = Database(spark)
-    load_csv(db, root, "nation")
-    return db.query("SELECT * FROM nation").named()
+    root = f"{Store(spark).path}/orders.csv"
+    source = _database(spark, sf_dir, "orders")
+    source.query("SELECT * FROM orders").named().write.mode("overwrite").option("header", True).csv(root)
+    db = Database(spark, BULK)
+    load_csv(db, root, "orders")
+    return db.query("SELECT * FROM orders").named()
 
 
 QUERIES["csv_bulk"] = csv_bulk
-ORACLES["csv_bulk"] = VIEWS["nation"]
+ORACLES["csv_bulk"] = VIEWS["orders"]
 
 
 def file_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A database file, created, changed and read again; it is the driver's alone."""
     from .sources import files
 
-    path = Path(tempfile.mkdtemp()) / "db"
-    files.create(path)
-    db = files.load(spark, path)
-    for s in USERS:
-        files.execute(db, path, s)
-    return files.load(spark, path).query("SELECT * FROM users").named()
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder) / "db"
+        files.create(path)
+        db = files.load(spark, path)
+        for s in USERS:
+            files.execute(db, path, s)
+        return files.load(spark, path).query("SELECT * FROM users").named()
 
 
 QUERIES["file_replace"] = file_replace
 ORACLES["file_replace"] = f"SELECT {USER_COLUMNS} FROM {USER_VALUES}"
+# -- errors: each statement with the class, wording and span of its error, after which nothing has changed
+def rejected(name: str, script: list[str], cases: list[tuple[str, str, str, tuple[int, int] | None]], limits: Limits | None = None) -> None:
+    """Statements that must fail on the database that `script` makes; a row for each with what it failed by."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Database(spark, limits)
+        for statement in script:
+            db.execute(statement)
+        before, rows = db.as_str(), []
+        for n, (statement, *_) in enumerate(cases):
+            try:
+                db.execute(statement)
+                rows.append((n, "none", "no error", None, None))
+            except EngineError as e:
+                span = getattr(e, "span", (None, None))
+                rows.append((n, e.kind, e.message, *span))
+            if db.as_str() != before:
+                rows.append((n, "changed", "the database changed", None, None))
+        return spark.createDataFrame(rows, "n int, kind string, message string, span_start bigint, span_end bigint")
+
+    QUERIES[name] = run
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    number = lambda v: "NULL::BIGINT" if v is None else f"{v}::BIGINT"
+    ORACLES[name] = values("n, kind, message, span_start, span_end", *(f"({n}, {text(kind)}, {text(message)}, {number(span and span[0])}, {number(span and span[1])})" for n, (_, kind, message, span) in enumerate(cases)))
+
+
+def computed(name: str, run: Query, oracle: str) -> None:
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+FAMILY = ["CREATE TABLE a (id INTEGER PRIMARY KEY, t TEXT)", "CREATE TABLE b (id INTEGER, a INTEGER REFERENCES a(id), s TEXT NOT NULL)", "INSERT INTO a VALUES (1, 'x')"]
+rejected("errors_join_types", FAMILY, [("SELECT * FROM a JOIN b ON a.id = b.s", "type", 'JOIN columns "a"."id" and "b"."s" have different types', None), ("SELECT * FROM a JOIN b ON a.t = b.a", "type", 'JOIN columns "a"."t" and "b"."a" have different types', None)])
+rejected("errors_sources", FAMILY, [("SELECT * FROM a JOIN b ON a.id = b.a JOIN c ON c.id = a.id", "resource_limit", "JOIN sources", None), ("SELECT * FROM a JOIN a ON a.id = a.id", "schema", 'table "a" appears more than once in a SELECT', None), ("SELECT * FROM b JOIN zz ON a.id = b.a", "schema", 'unknown table "zz"', None)], Limits(max_join_sources=2))
+rejected("errors_tail", FAMILY, [
+    ("SELECT * FROM a LIMIT 1 ORDER BY id", "parse", "ORDER BY must precede LIMIT and OFFSET", (24, 29)),
+    ("SELECT * FROM a OFFSET 1 LIMIT 1", "parse", "LIMIT must precede OFFSET", (25, 30)),
+    ("SELECT * FROM a LIMIT 1 LIMIT 2", "parse", "duplicate LIMIT clause", (24, 29)),
+    ("SELECT * FROM a LIMIT -1", "parse", "LIMIT requires an unsigned integer", (22, 24)),
+])
+rejected("errors_predicate_budget", FAMILY, [("SELECT * FROM a WHERE id = 1 AND id = 2 OR id = 3", "resource_limit", "WHERE predicates", None), ("SELECT * FROM a WHERE nope IN (1, 2, 3)", "resource_limit", "WHERE predicates", None), ("SELECT * FROM a WHERE nope = 1", "schema", 'unknown column "nope" in table "a"', None)], Limits(max_predicates=2))
+rejected("errors_check_budget", [], [("CREATE TABLE t (a INTEGER CHECK (a > 0), CHECK (a < 9 OR a = 20))", "resource_limit", "CHECK predicates", None)], Limits(max_predicates=2))
+rejected("errors_not_null", FAMILY, [("INSERT INTO b VALUES (1, 1, NULL)", "type", 'column "s" is NOT NULL', None), ("INSERT INTO a (t) VALUES ('q')", "type", 'column "id" is NOT NULL', None), ("CREATE TABLE u (x TEXT NOT NULL NOT NULL)", "schema", 'duplicate NOT NULL declaration for column "x"', None), ("UPDATE a SET id = NULL", "type", 'column "id" is NOT NULL', None)])
+rejected("errors_values", FAMILY, [("INSERT INTO a VALUES (1)", "type", 'table "a" expects 2 values, got 1', None), ("INSERT INTO a (id, id) VALUES (1, 2)", "schema", 'duplicate INSERT column "id"', None), ("INSERT INTO a (id) VALUES (1, 2)", "type", "INSERT names 1 columns but supplies 2 values", None), ("UPDATE a SET t = 'x', t = 'y'", "schema", 'duplicate UPDATE assignment for column "t"', None), ("INSERT INTO a VALUES ('1', 'x')", "type", 'column "id" expects INTEGER, got TEXT', None)])
+rejected("errors_lexer", FAMILY, [
+    ("SELECT * FROM a -- all", "unsupported", "SQL comments", (16, 22)),
+    ("SELECT 'é FROM a", "parse", "unterminated string literal", (7, 17)),
+    ("SELECT ? FROM a", "parse", "unexpected character '?'", (7, 8)),
+    ("SELECT * FROM a WHERE id = 1x", "parse", "malformed numeric token", (27, 29)),
+    ('SELECT "q FROM a', "parse", "unterminated quoted identifier", (7, 16)),
+])
+rejected("errors_parser", FAMILY, [("", "parse", "expected a SQL statement", (0, 0)), ("42", "parse", "expected a SQL statement", (0, 2)), ("MERGE INTO a", "unsupported", "statement `MERGE`", (0, 5))])
+rejected("errors_order", FAMILY, [("SELECT * FROM a ORDER BY 1", "unsupported", "ORDER BY ordinals", (25, 26)), ("SELECT * FROM a ORDER BY id NULLS FIRST", "unsupported", "ORDER BY NULLS FIRST/LAST", (28, 33)), ("SELECT * FROM a ORDER BY id COLLATE x", "unsupported", "ORDER BY COLLATE", (28, 35))])
+rejected("errors_trailing", FAMILY, [("SELECT * FROM a u", "unsupported", "trailing SQL syntax", (16, 17)), ("DELETE FROM a ORDER BY id", "unsupported", "ORDER BY", (14, 19)), ("UPDATE a SET t = 'x' LIMIT 1", "unsupported", "LIMIT", (21, 26)), ("SELECT * FROM a GROUP BY id", "unsupported", "GROUP BY", (16, 21)), ("SELECT * FROM a LEFT JOIN b ON a.id = b.a", "unsupported", "outer joins", (16, 20))])
+rejected("errors_precedence", FAMILY, [("SELECT nope FROM a WHERE 'x", "parse", "unterminated string literal", (25, 27)), ("UPDATE a SET id < 1", "unsupported", "ordered comparisons", (16, 17))])
+rejected("limit_sql_bytes", [], [("SELECT * FROM a WHERE id = 1", "resource_limit", "SQL bytes", None)], Limits(max_sql_bytes=20))
+rejected("limit_pattern_bytes", ["CREATE TABLE t (a TEXT)"], [("SELECT * FROM t WHERE a = 'xxxxxxxxxxxxxxxxxxxx'", "resource_limit", "generated regex bytes", None)], Limits(max_pattern_bytes=60))
+rejected("limit_output_bytes", ["CREATE TABLE t (abc TEXT)"], [("SELECT abc, abc, abc, abc FROM t", "resource_limit", "query output bytes", None)], Limits(max_query_output_bytes=10))
+rejected("limit_database_bytes", ["CREATE TABLE t (a TEXT)", "INSERT INTO t VALUES ('0123456789')"], [("INSERT INTO t VALUES ('0123456789')", "resource_limit", "database bytes", None), ("UPDATE t SET a = '0123456789012345678901234567890123456789'", "resource_limit", "database bytes", None)], Limits(max_database_bytes=40))
+
+
+def result_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label, origin, type and nullability of every output column, those of a statement without rows included."""
+    db = Database(spark)
+    for s in FAMILY:
+        db.execute(s)
+    found = db.query("SELECT b.s, a.*, b.s FROM a JOIN b ON a.id = b.a LIMIT 0").columns
+    return spark.createDataFrame([(n, c.label, c.table, c.column, c.type, c.nullable) for n, c in enumerate(found)], 'n int, label string, "table" string, "column" string, type string, nullable boolean'.replace('"', "`"))
+
+
+computed("result_metadata", result_metadata, values('n, label, "table", "column", type, nullable', "(0, 's', 'b', 's', 'TEXT', FALSE)", "(1, 'id', 'a', 'id', 'INTEGER', FALSE)", "(2, 't', 'a', 't', 'TEXT', TRUE)", "(3, 's', 'b', 's', 'TEXT', FALSE)"))
+
+
+def format_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of the string: the first of the newer features changes it, and nothing changes it back."""
+    rows = []
+    for n, feature in enumerate(("", "DEFAULT 'x'", "UNIQUE", "CHECK (a != 'q')", "PRIMARY KEY UNIQUE")):
+        db = Database(spark)
+        db.execute(f"CREATE TABLE t (a TEXT {feature})")
+        db.execute("CREATE TABLE later (b TEXT)")
+        rows.append((n, db.as_str()[:3]))
+    return spark.createDataFrame(rows, "n int, header string")
+
+
+computed("format_upgrade", format_upgrade, values("n, header", "(0, 'V2;')", "(1, 'V3;')", "(2, 'V3;')", "(3, 'V3;')", "(4, 'V2;')"))
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An UPDATE moves a sequence if it matches a row, and a cascade moves the child's."""
+    db = Database(spark)
+    for s in (
+        "CREATE TABLE p (id INTEGER PRIMARY KEY AUTOINCREMENT, x TEXT)", "CREATE TABLE c (id INTEGER PRIMARY KEY AUTOINCREMENT REFERENCES p(id) ON UPDATE CASCADE, y TEXT)",
+        "INSERT INTO p (x) VALUES ('a')", "INSERT INTO c (id) VALUES (1)", "UPDATE p SET id = 900 WHERE id = 77", "UPDATE p SET id = 40 WHERE id = 1", "INSERT INTO p (x) VALUES ('b')", "UPDATE c SET y = 'z'", "INSERT INTO p (id) VALUES (50)", "UPDATE c SET id = 50", "INSERT INTO p (x) VALUES ('d')", "INSERT INTO c (y) VALUES ('w')",
+    ):
+        db.execute(s)
+    return spark.createDataFrame([(t, *r) for t in "pc" for r in db.query(f"SELECT * FROM {t}").rows()], "t string, id bigint, x string")
+
+
+computed("sequence_on_update", sequences, values("t, id, x", "('p', 40::BIGINT, 'a')", "('p', 41, 'b')", "('p', 50, NULL)", "('p', 51, 'd')", "('c', 50, 'z')", "('c', 51, 'w')"))
+in_memory("statement_snapshot", ["CREATE TABLE n (id INTEGER PRIMARY KEY, up INTEGER REFERENCES n(id) ON DELETE SET NULL, v INTEGER)", "INSERT INTO n VALUES (1, NULL, 1)", "INSERT INTO n VALUES (2, 1, 1)", "INSERT INTO n VALUES (3, 2, 2)", "UPDATE n SET v = 2, up = NULL WHERE v = 1", "DELETE FROM n WHERE up IS NULL"], "SELECT * FROM n", values("id, up, v", "(3::BIGINT, NULL::BIGINT, 2::BIGINT)"))
+
+
+def corrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset of the first record that breaks a constraint: of three equal keys the second is the fault."""
+    rows = []
+    for n, (columns, cells) in enumerate((("a INTEGER PRIMARY KEY", ("I1", "I1", "I1")), ("a TEXT UNIQUE", ("Tx", "Ty", "Tx", "Tx")))):
+        db = Database(spark)
+        db.execute(f"CREATE TABLE t ({columns})")
+        head = db.as_str()
+        try:
+            Database.from_string(spark, head + "".join(f"~R|t|{c};" for c in cells))
+        except EngineError as e:
+            rows.append((n, e.kind, (e.offset - len(head)) // len(f"~R|t|{cells[0]};"), (e.offset - len(head)) % len(f"~R|t|{cells[0]};")))
+    return spark.createDataFrame(rows, "n int, kind string, record bigint, rest bigint")
+
+
+computed("corrupt_offset", corrupt_rows, values("n, kind, record, rest", "(0, 'corrupt_storage', 1::BIGINT, 0::BIGINT)", "(1, 'corrupt_storage', 2, 0)"))
+
+
+def console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of the JSON console: a table, a row, a mutation with its scan, an error with its span, a string loaded or refused."""
+    import json
+
+    from .envelope import Console
+
+    c = Console(spark)
+    replies = [c.exec("CREATE TABLE t (a INTEGER, b TEXT)"), c.exec("INSERT INTO t VALUES (9007199254740993, 'x')"), c.exec("SELECT * FROM t WHERE b = 'x'"), c.exec("UPDATE t SET b = 'y' WHERE a = 1"), c.exec("SELEC"), c.load("V9;"), c.load("V2;"), c.explain("SELECT a FROM t")]
+    rows = []
+    for n, text in enumerate(replies):
+        r = json.loads(text)
+        cells = r.get("result", {}).get("rows", [])
+        rows.append((n, r["ok"], r.get("kind"), r.get("error", {}).get("kind"), json.dumps(cells, separators=(",", ":")), len(r["scan"]["matches"]) if r.get("scan") else None))
+    return spark.createDataFrame(rows, "n int, ok boolean, kind string, error string, cells string, matches int")
+
+
+computed("json_console", console, values("n, ok, kind, error, cells, matches", "(0, TRUE, 'created', NULL, '[]', NULL::INTEGER)", "(1, TRUE, 'affected', NULL, '[]', NULL)", """(2, TRUE, 'rows', NULL, '[[{"type":"INTEGER","value":"9007199254740993"},{"type":"TEXT","value":"x"}]]', 1)""", "(3, TRUE, 'affected', NULL, '[]', 0)", "(4, FALSE, NULL, 'unsupported', '[]', NULL)", "(5, FALSE, NULL, 'corrupt_storage', '[]', NULL)", "(6, TRUE, 'loaded', NULL, '[]', NULL)", "(7, FALSE, NULL, 'schema', '[]', NULL)"))
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line and the shell print, a row for each line."""
+    import contextlib
+    import io
+
+    from . import cli
+
+    path = str(Path(tempfile.mkdtemp()) / "db")
+    out, err = io.StringIO(), io.StringIO()
+    try:
+        with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+            codes = [cli.main(["init", path]), cli.main(["init", path])]
+            text = "CREATE TABLE t (a INTEGER,\nb TEXT);\nINSERT INTO t VALUES (1, 'x;\ty');\nSELECT * FROM t;\nSELEC;\nSHOW CREATE TABLE t;\nEXPLAIN REGEX SELECT a FROM t;\n.dump\n.quit\n"
+            codes.append(cli.shell(spark, path, io.StringIO(text), out, err))
+            codes.append(cli.shell(spark, path, io.StringIO("SELECT 1"), out, err))
+    finally:
+        shutil.rmtree(Path(path).parent)
+    lines = [("out", x) for x in out.getvalue().splitlines()] + [("err", x if not x.startswith("error: [Errno") else "error: exists") for x in err.getvalue().splitlines()] + [("code", str(c)) for c in codes]
+    return spark.createDataFrame([(n, *x) for n, x in enumerate(lines)], "n int, stream string, line string")
+
+
+PRINTED = [("out", x) for x in ("created table t", "affected 1 row", "+---+-------+", "| a | b     |", "+---+-------+", "| 1 | x;\\ty |", "+---+-------+", "1 row", "CREATE TABLE t (a INTEGER, b TEXT)", r"regex: ~R\|t\|(?:N|I(?:0|-?[1-9][0-9]*))\|(?:N|T(?:%[0-9A-F]{6}|[^%|;~])*);", "rows: exact")]
+ERRORS = [("err", x) for x in ("error: exists", "error: unsupported SQL feature at bytes 0..5: statement `SELEC`", "error: incomplete SQL statement at end of input (expected `;`)")]
+DUMPED = ("out", "V2;~S|t|a:I:?|b:T:?;~R|t|I1|Tx%00003B%000009y;")
+computed("command_line", command_line, values("n, stream, line", *(f"({n}, '{k}', '{x}')" for n, (k, x) in enumerate([*PRINTED, DUMPED, *ERRORS, *(("code", c) for c in "0101")]))))
+
+
+def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demonstration's tables after all of its statements, those included that must fail."""
+    from .presets import PRESETS, seeded
+
+    db = seeded(spark)
+    for topic, _, script in PRESETS:
+        for statement in script:
+            try:
+                db.execute(statement)
+            except EngineError:
+                if topic != "rules":
+                    raise
+    return db.query("SELECT users.id, users.handle, posts.subject, posts.likes FROM posts JOIN users ON posts.author = users.id").named()
+
+
+computed("demo_presets", demo, values("id, handle, subject, likes", "(70::BIGINT, 'tomas', 'A short walk', 27::BIGINT)", "(3, 'yuki', 'Paper cranes', 8)"))
 FLAGSHIP = "SELECT orders.o_orderkey, lineitem.l_linenumber, lineitem.l_partkey FROM orders JOIN lineitem ON orders.o_orderkey = lineitem.l_orderkey WHERE orders.o_orderstatus = 'F' AND lineitem.l_returnflag LIKE 'R%' ORDER BY o_orderkey DESC, l_linenumber, l_partkey LIMIT 20"
 on_files("flagship", FLAGSHIP, "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_partkey AS BIGINT) AS l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND l_returnflag LIKE 'R%' ORDER BY o_orderkey DESC, l_linenumber, l_partkey LIMIT 20", "orders", "lineitem")
 

@@ -98,11 +98,15 @@ def statements(text: str, file_name: str, row_limit: int = 500) -> tuple[Importe
 
 
 def load_csv(db, path: str, table: str | None = None) -> Imported:
-    """The bulk importer: Spark reads the file, one aggregate infers all types, and every row is kept."""
+    """The bulk importer: Spark reads the file, one aggregate infers all types, and every row is kept, unlike in the small one, which
+    follows the console it stands for in taking `row_limit` rows."""
     spark = db.spark
-    first = spark.read.text(path).limit(1).collect()
+    lines = spark.read.text(path)
+    first = lines.limit(1).collect()
     delimiter = separator(first[0][0] if first else "")
-    raw = spark.read.option("header", True).option("sep", delimiter).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    # a quoted line end leaves lines with an odd number of quotes; only then can't a file be split between tasks
+    across = lines.agg(F.max(F.expr("(length(value) - length(replace(value, '\"', ''))) % 2"))).first()[0] == 1
+    raw = spark.read.option("header", True).option("sep", delimiter).option("multiLine", across).option("quote", '"').option("escape", '"').csv(path)
     columns = names(raw.columns)
     raw = raw.toDF(*(f"r{i}" for i in range(len(columns))))
     cell = [F.coalesce(F.trim(f"r{i}"), F.lit("")) for i in range(len(columns))]

@@ -6,11 +6,9 @@ from pyspark.sql import Column as SparkColumn
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.predicates import CENTS, DATE, MICROS, WHOLE
 from ..schema import BOOLEAN, INTEGER, TEXT, Column, Table
 
-#: How a column that is none of the three types is read.
-CENTS, WHOLE, DATE, MICROS = "cents", "whole", "date", "micros"
-
 
 def mapped(column: str, kind: T.DataType, unit: str | None) -> tuple[str, SparkColumn] | None:
     x = F.col(column)
@@ -30,14 +28,20 @@ def mapped(column: str, kind: T.DataType, unit: str | None) -> tuple[str, SparkC
 
 
 def attach_parquet(db, name: str, path: str, units: dict[str, str] | None = None) -> Table:
-    """Attaches the files at `path`; columns of other types (arrays, maps, structs) are left out."""
+    """Attaches the files at `path`; columns of other types (arrays, maps, structs) are left out. The stored columns stay beside those
+    that are made from them, so filters reach the scan; a scan reads them only where a filter names them."""
     raw = db.spark.read.parquet(path)
-    columns, cells = [], []
+    columns, cells, stored = [], [], {}
     for f in raw.schema.fields:
-        found = mapped(f.name, f.dataType, (units or {}).get(f.name))
+        unit = (units or {}).get(f.name)
+        found = mapped(f.name, f.dataType, unit)
         if found:
-            cells.append(found[1].alias(f"c{len(columns)}"))
+            i = len(columns)
+            cells.append(found[1].alias(f"c{i}"))
+            if not isinstance(f.dataType, (T.StringType, T.BooleanType, T.IntegralType)):
+                cells.append(F.col(f.name).alias(f"r{i}"))
+                stored[i] = (f.dataType, WHOLE if unit == WHOLE else CENTS if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else MICROS if unit == MICROS else DATE)
             columns.append(Column(f.name.lower(), found[0]))
     t = Table(name, tuple(columns))
-    db.attach(t, raw.select(cells))
+    db.attach(t, raw.select(cells), stored)
     return t

@@ -255,3 +255,80 @@ def test_errors_are_of_the_engine(db):
         with pytest.raises(EngineError):
             db.execute(sql)
     assert db.as_str() == "V2;"
+
+
+# -- tables beyond the driver
+
+
+@pytest.mark.parametrize("rows", [5, 5000])
+def test_size_limit_holds_at_every_size(spark, monkeypatch, rows):
+    from ledgerline.sources import tables
+
+    monkeypatch.setattr(tables, "DELTA_ROWS", rows)
+    db = Database(spark, Limits(max_database_bytes=300))
+    db.execute("CREATE TABLE t (a INTEGER, b TEXT)")
+    n = 0
+    with pytest.raises(ResourceLimit):
+        while True:
+            db.execute(f"INSERT INTO t VALUES ({n}, 'x{n};')")
+            n += 1
+    text = db.as_str()
+    assert n == 14 and db._size() == len(text.encode()) <= 300
+    db.execute("DELETE FROM t WHERE a < 3")
+    db.execute("UPDATE t SET b = 'yy' WHERE a = 4")
+    assert db._size() == len(db.as_str().encode()) and ids(db, "SELECT a FROM t") == list(range(3, n))
+
+
+def test_files_are_added_and_old_ones_go(spark, monkeypatch):
+    from ledgerline.sources import tables
+
+    monkeypatch.setattr(tables, "DELTA_ROWS", 2)
+    monkeypatch.setattr(tables, "MANY_FILES", 3)
+    db = Database(spark)
+    run(db, "CREATE TABLE p (id INTEGER PRIMARY KEY)", "CREATE TABLE c (id INTEGER PRIMARY KEY, p INTEGER REFERENCES p(id) ON DELETE CASCADE)")
+    for i in range(14):
+        run(db, f"INSERT INTO p VALUES ({i})", f"INSERT INTO c VALUES ({100 + i}, {i})")
+    for i in (0, 3, 5, 8, 9):
+        assert db.execute(f"DELETE FROM p WHERE id = {i}").count == 1
+        run(db, f"INSERT INTO p VALUES ({50 + i})")
+    left = [i for i in range(14) if i not in (0, 3, 5, 8, 9)]
+    for _ in range(2):
+        assert ids(db, "SELECT id FROM p") == [*left, 50, 53, 55, 58, 59] and ids(db, "SELECT id FROM c") == [100 + i for i in left]
+        assert ids(db, "SELECT id FROM p ORDER BY id DESC OFFSET 12") == [2, 1]
+        assert db.vacuum() >= 0
+    assert ids(db, "SELECT id FROM p ORDER BY id OFFSET 9") == [50, 53, 55, 58, 59] and ids(db, "SELECT id FROM p ORDER BY id LIMIT 2 OFFSET 9") == [50, 53]
+    assert db._size() == len(db.as_str().encode()) and db.vacuum() > 0 and db.vacuum() == 0
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO c VALUES (1, 0)")
+
+
+def test_filters_on_stored_columns_change_no_result(spark, tmp_path):
+    import datetime
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ledgerline.sources.parquet import attach_parquet
+
+    r = random.Random(4)
+    day = lambda: datetime.datetime(1969, 12, 1) + datetime.timedelta(seconds=r.randrange(5_000_000))
+    rows = [(i, r.choice([None, *(x / 100 for x in range(-350, 350, 7)), -0.995, 2.675]), r.choice([-1.5, -1.0, 0.99, 1.0, 7.2]), day(), day(), day().date()) for i in range(300)]
+    rows += [(300, 1e9, 5.0, datetime.datetime(1, 1, 1, 5), datetime.datetime(9999, 12, 31, 23), datetime.date(9999, 12, 31))]
+    spark.createDataFrame(rows, "i bigint, cents double, whole double, day timestamp_ntz, us timestamp_ntz, d date").write.parquet(str(tmp_path / "t"))
+    db, plain = Database(spark), Database(spark)
+    attach_parquet(db, "t", str(tmp_path / "t"), {"whole": "whole", "us": "micros"})
+    v = db.versions["t"]
+    plain.attach(db.catalog.tables["t"], v.base)
+    values = {"cents": ["-100", "0", "268", "267", "13"], "whole": ["-1", "0", "1", "7"], "us": ["0", "86400000000", "-5", "1000000000000"], "day": ["'1970-01-01'", "'1969-12-15'", "'1970'", "'1970-13-01'"], "d": ["'1970-01-03'", "'9999-12-31'", "'x'"]}
+    conditions = [f"{c} {op} {x}" for c, xs in values.items() for op in ("=", "!=", "<", "<=", ">", ">=") for x in xs]
+    conditions += [f"{c} IN ({', '.join(xs)}, NULL)" for c, xs in values.items()] + [f"{c} IS NULL" for c in values] + ["day LIKE '1970%'"]
+    for _ in range(40):
+        a, b, c = r.choice(conditions), r.choice(conditions), r.choice(conditions)
+        conditions.append(r.choice([f"{a} AND {b}", f"{a} OR {b}", f"({a} OR {b}) AND i < 200", f"{a} OR {b} AND {c}"]))
+    some = [*r.sample(conditions[:-40], 40), *conditions[-40:]]
+    pick = lambda d, c: d.query(f"SELECT i FROM t WHERE {c}").dataframe.agg(F.sort_array(F.collect_list("p0")).alias("x"))
+    for k in range(0, len(some), 20):  # a job for many conditions
+        got, want = (pick(d, some[k]) for d in (db, plain))
+        for c in some[k + 1 : k + 20]:
+            got, want = got.union(pick(db, c)), want.union(pick(plain, c))
+        assert [x[0] for x in got.collect()] == [x[0] for x in want.collect()]

@@ -30,6 +30,8 @@ def test_plans(spark):
     plan = _database(spark, SF, "orders", "lineitem").query(FLAGSHIP).dataframe._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "EqualTo(o_orderstatus,F)" in plan and "StringStartsWith(l_returnflag,R)" in plan
     assert "o_totalprice" not in plan and "l_extendedprice" not in plan
+    for name, pushed in (("filter_date_order", "GreaterThanOrEqual(o_orderdate,1995-01-01"), ("and_or_precedence", "And(EqualTo(l_returnflag,A),LessThanOrEqual(l_quantity,11.0))")):
+        assert pushed in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_entry(spark):
