@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,14 +76,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, rows)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._ledgerline_path = path
-    return out
-
-
-def unstored(df: DataFrame) -> None:
-    """Deletes what stored() wrote, once nothing reads it any more."""
-    remove(df.sparkSession, df._ledgerline_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def apart(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """`df` with those of its columns that have a name of `names`, in any case, renamed by underscores at the end."""
+    taken, wanted = {c.lower() for c in df.columns} | {n.lower() for n in names}, {n.lower() for n in names}
+    new = {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            name = c + "_"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            new[c] = name
+    return df.withColumnsRenamed(new) if new else df
 
 
 def lower_ascii(text: str) -> str:

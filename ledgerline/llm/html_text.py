@@ -6,9 +6,15 @@ connect the elements. Sum-product messages go up from the leaves and down from t
 and an element's text is kept if the marginal of content is at least one half. The potentials are smoothed
 frequencies over labelled pages; LABELLED makes these, with all kinds of boilerplate, from a fixed seed.
 
+A class, id or role in which every word is known (a neutral word like "list" does not count) is telling anywhere. Inside an
+article or main element, or one that is named as an article, a name that holds other words too, as "related-figure", is a weak hint, learnt apart.
+
 Text in one block has its character references decoded and white space turned into one space; blocks follow in page
-order. A page cut off in the midst of a tag loses the tag only. Null html is an empty page, which has empty text.
-Repeated pages give equal text. Parsing is linear in the page's length, and nesting may be of any depth.
+order. Formulas, drawings' texts, and what object and noscript hold are text like any other; forms' controls and what no
+browser shows (scripts, styles, templates, a formula's source) are not. A page cut off in the midst of a tag loses the tag
+only. Null html and an empty page have empty text. Repeated pages give equal text; a marginal of exactly one half keeps the
+text. Parsing is linear in the page's length, nesting may be of any depth, and very long pages are worked on one by one. An
+empty table gives an empty result. Other columns stay; those named text or n_chars are renamed by an underscore at the end.
 """
 
 from __future__ import annotations
@@ -21,10 +27,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, worker
+from .common import apart, sliced, worker
 
 # In quotes, > may stand in an attribute, < may not: each < then ends the search, and time stays linear.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>""")
@@ -32,8 +37,11 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)([^><]*)>")
 ATTRIBUTE = re.compile(r"""(?i)(?:^|[\s"'])(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select button object xmp noembed".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements whose content is no text of the page; of the second, the content is text without markup.
+RAW = frozenset("script style textarea title iframe template select button noembed noframes annotation annotation-xml datalist".split())
+LITERAL = frozenset(["xmp", "plaintext"])
+_MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts semantics"
+INLINE = frozenset(f"a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img noscript object svg g text tspan {_MATH}".split())
 #: Elements that a start tag closes, up to the nearest of the second set.
 _P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSES = {t: (frozenset(["p"]), frozenset(["article", "aside", "section", "div", "td", "th", "body", "li", "main", "button", "blockquote"])) for t in _P}
@@ -51,6 +59,10 @@ LEXICON = {
     "share": "share sharing social follow",
     "content": "article content main post entry story body text prose page document",
 }
+#: Words that say nothing about what an element holds.
+NEUTRAL = frozenset("container wrapper wrap list left right top bottom box block area section inner outer item items row col column bar unit group holder panel primary secondary fixed sticky js is has no the".split())
+#: Words that name an article's own element, whatever its tag.
+WHOLE = frozenset("article post entry story prose".split())
 _GROUP = {w: g for g, words in reversed(LEXICON.items()) for w in words.split()}
 _ORDER = {g: k for k, g in enumerate(LEXICON)}
 
@@ -58,18 +70,19 @@ _ORDER = {g: k for k, g in enumerate(LEXICON)}
 class Page:
     """A parsed page: for each element its parent, tag, lexicon group, label in training; text runs and their elements."""
 
-    __slots__ = ("groups", "labelled", "labels", "parents", "runs", "tags")
+    __slots__ = ("groups", "inside", "labelled", "labels", "parents", "runs", "tags")
 
     def __init__(self, text: str, labelled: bool = True):
         #: whether data-y is a label; pages to extract may use the attribute for anything
         self.labelled = labelled
-        self.parents, self.tags, self.groups, self.labels = [-1], ["root"], ["none"], [0]
+        self.parents, self.tags, self.groups, self.labels, self.inside = [-1], ["root"], ["g:none"], [0], [False]
         #: (element, text, linked); an element of -1 is a block's edge
         self.runs: list[tuple[int, str, bool]] = []
         self._parse(text)
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
-        group, label = "none", self.labels[parent]
+        group, label, inside = "none", self.labels[parent], self.inside[parent]
+        weak = holds = False
         if attributes and "=" in attributes:
             best = 99
             for m in ATTRIBUTE.finditer(attributes):
@@ -78,14 +91,19 @@ class Page:
                     if self.labelled:
                         label = int(value)
                     continue
-                for w in WORD.findall(value):
-                    g = _GROUP.get(w.lower())
-                    if g and _ORDER[g] < best:
-                        best, group = _ORDER[g], g
+                for name in value.split():
+                    words = [w.lower() for w in WORD.findall(name)]
+                    holds = holds or not WHOLE.isdisjoint(words) and tag != "body"
+                    other = any(w not in _GROUP and w not in NEUTRAL and not w.isdigit() for w in words)
+                    for w in words:
+                        # a name that is known as a whole goes before one that is known in part
+                        if (g := _GROUP.get(w)) and (rank := _ORDER[g] + 20 * (other and inside)) < best:
+                            best, group, weak = rank, g, other and inside
         self.parents.append(parent)
         self.tags.append(tag)
-        self.groups.append(group)
+        self.groups.append(("w:" if weak else "g:") + group)
         self.labels.append(label)
+        self.inside.append(inside or tag in ("article", "main") or holds)
         return len(self.parents) - 1
 
     def _parse(self, text: str) -> None:
@@ -150,6 +168,11 @@ class Page:
             if tag in VOID:
                 runs.append((stack[-1], " ", False) if tag in INLINE or tag == "br" else (-1, "", False))
                 continue
+            if tag in LITERAL:
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(text, at) if tag == "xmp" else None
+                runs += [(-1, "", False), (stack[-1], html.escape(text[at : n if end is None else end.start()]), False), (-1, "", False)]
+                at = n if end is None else end.end()
+                continue
             if tag in RAW:
                 if not m[3].endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, at)
@@ -183,7 +206,7 @@ class Page:
         for i in range(n):
             size = "n0" if own[i] == 0 else "n1" if own[i] < 25 else "n2" if own[i] < 80 else "n3" if own[i] < 300 else "n4"
             share = "l-" if total[i] == 0 else f"l{min(3, 4 * linked[i] // total[i])}"
-            out.append((TAGS.get(self.tags[i], "other"), "g:" + self.groups[i], size, share))
+            out.append((TAGS.get(self.tags[i], "other"), self.groups[i], size, share))
         return out
 
     def text(self, keep: list[bool]) -> str:
@@ -280,7 +303,7 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
         return f"<{tag} data-y=0{'' if bare else f' class={name(group)}'}>{inner}</{tag}>"
 
     def noise() -> str:
-        kind = r.randrange(8)
+        kind = r.choice((0, 1, 2, 3, 4, 5, 5, 5, 6, 7))
         if kind == 0:
             return box("nav", ("nav", "div", "ul"), links())
         if kind == 1:
@@ -297,23 +320,32 @@ def labelled_pages(n: int = 600, seed: int = 7) -> list[str]:
             return box("share", ("div", "ul"), "".join(f"<li>{link()}</li>" for _ in range(3)), True)
         return box("footer", ("footer", "div"), f"<p>{words(3, 25)}</p>" if r.random() < 0.5 else f"&copy; {words(2, 20)}")
 
-    def body() -> str:
+    def body(sure: bool) -> str:
         parts = [f"<h1>{words(2, 12)}</h1>"]
         for _ in range(r.randint(1, 14)):
             k = r.random()
             text = words(1, 90) + "."
             if r.random() < 0.2:
                 text = f"{words(1, 30)} {link()} {words(1, 30)} <b>{words(1, 6)}</b>"
-            parts.append(f"<h2>{words(1, 6)}</h2>" if k < 0.08 else f"<ul><li>{text}</li><li>{words(2, 15)}</li></ul>" if k < 0.14 else f"<blockquote><p>{text}</p></blockquote>" if k < 0.18 else f"<pre>{text}</pre>" if k < 0.2 else f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>" if k < 0.23 else f"<div>{text}</div>" if k < 0.27 else f"<p>{text}</p>")
+            parts.append(f"<h2>{words(1, 6)}</h2>" if k < 0.08 else f"<{(t := r.choice(('ul', 'ol')))}><li>{text}</li>{''.join(f'<li>{words(2, 40)}</li>' for _ in range(r.randint(1, 4)))}</{t}>" if k < 0.14 else f"<blockquote><p>{text}</p></blockquote>" if k < 0.18 else f"<pre>{text}</pre>" if k < 0.2 else f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>" if k < 0.23 else f"<div>{text}</div>" if k < 0.27 else f"<p>{text}</p>")
             if r.random() < 0.08:
                 parts.append(noise())
+            if sure and r.random() < 0.12:
+                # content under a name of which one word alone would tell of something else, and some noise under such a name
+                group, inner = r.choice([g for g in LEXICON if g != "content"]), f"<p>{words(4, 60)}</p>"
+                good = r.random() < 0.8
+                name_ = f"{name(group)}-{word()}x" if r.random() < 0.5 else f"{word()}x_{name(group)}"
+                parts.append(f"<{(t := r.choice(('div', 'section', 'figure')))} data-y={int(good)} class={name_}>{inner if good else links()}</{t}>")
+            if r.random() < 0.04:
+                parts.append(f"<p>{words(2, 9)} <math><mi>{word()}</mi><mo>=</mo><mn>2</mn></math> {words(1, 9)}</p><noscript>{words(1, 9)}</noscript><object>{words(1, 4)}</object>")
         return "".join(parts)
 
     out = []
     for _ in range(n):
         tag = r.choice(("article", "article", "article", "main", "div", "section"))
         bare = tag in ("article", "main") and r.random() < 0.7
-        inner = f"<{tag} data-y=1{'' if bare else f' class={name("content")}'}>{body()}</{tag}>"
+        named = "" if bare else name("content")
+        inner = f"<{tag} data-y=1{named and f' class={named}'}>{body(tag in ('article', 'main') or named in WHOLE)}</{tag}>"
         if r.random() < 0.3:
             inner = f"<div>{noise()}{inner}{noise() if r.random() < 0.5 else ''}</div>"
         head = box("header", ("header", "div"), f"<h2>{words(1, 4)}</h2>" + (links() if r.random() < 0.5 else f"<p>{words(1, 10)}</p>")) if r.random() < 0.5 else ""
@@ -332,13 +364,16 @@ def model() -> TreeModel:
 
 def main_text(pages: DataFrame, page: str = "html") -> DataFrame:
     """`pages` with text in place of the html column, and n_chars, its code points."""
-    fields = [f for f in pages.schema.fields if f.name not in (page, "text", "n_chars")]
+    pages = apart(pages.withColumnRenamed(page, "_html") if page in ("text", "n_chars") else pages, ("text", "n_chars"))
+    page = "_html" if page in ("text", "n_chars") else page
+    fields, at = [f for f in pages.schema.fields if f.name != page], pages.columns.index(page)
+    kept = [pages.columns.index(f.name) for f in fields]
+    out = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     shared = pages.sparkSession.sparkContext.broadcast(model())
-    kept = pages.select(*(f.name for f in fields), F.col(page).alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in sliced(b, b.num_columns - 1)):
-            texts = [shared.value.extract(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
+        for batch in (x for b in batches for x in sliced(b, at)):
+            texts = [shared.value.extract(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=out.names)
 
-    return kept.mapInArrow(worker(run), T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return pages.mapInArrow(worker(run), out)
