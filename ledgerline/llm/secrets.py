@@ -10,8 +10,13 @@ frame when the candidate is appended to the text around it, with a compressor pr
 identifiers: whatever the dictionary or the surroundings hold already costs a few bytes, a random key its full
 length.
 
-Null text is empty text and has no spans. Repeated rows give equal spans. Spans are in code points, end
-exclusive. Whole texts are scanned, in time linear in their length.
+The surroundings are AROUND code points on either side, a window like REACH and part of the definition: what lies further
+off does not make a string less novel. Compressed sizes are whole bytes, so equal candidates in equal surroundings tie, and
+all are reported.
+
+Null text and empty text have no spans. A null id is kept as it is. Repeated rows give equal spans. Spans are in code points,
+end exclusive. Whole texts are scanned, very long ones one by one, in time linear in their length. An empty table gives an
+empty result. Other columns stay; one that is named spans is renamed by an underscore at the end.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, worker
+from .common import apart, sliced, worker
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -140,7 +145,9 @@ def redacted(text: str, spans: list[tuple[int, int, int]], names: tuple[str, ...
 
 def secret_spans(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """`docs` with spans, an array of (start, end, kind) by start, then kind as listed; kind is one of KINDS."""
-    at, name = docs.columns.index(text), prefix + "spans"
+    name = prefix + "spans"
+    docs = apart(docs, [name])
+    at = docs.columns.index(text)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())]))
 
@@ -163,7 +170,7 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     word = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"] != "novel")
-    return found.select(key, *(count(k) for k in KINDS), F.sha2(F.array_join(F.transform(base, word), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", word), ",").alias("spans"))
+    return found.select(key, *(count(k) for k in KINDS), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.array_join(F.transform(base, word), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", word), ",").alias("spans"))
 
 
 def without_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
