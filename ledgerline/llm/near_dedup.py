@@ -1,6 +1,6 @@
 """Near-duplicate documents by SetSketch registers, banding, joint likelihood and exact verification.
 
-A document's set holds its distinct shingles of three words. Its registers are exponentially spaced truncated
+A document's set holds its distinct shingles of some words. Its registers are exponentially spaced truncated
 minima of as many hash functions; those of a union are the maxima of the registers, and two sets agree in a
 register about as often as their similarity says.
 
@@ -8,18 +8,22 @@ register about as often as their similarity says.
 2. Registers are banded. Each band's bucket names its least class as centre, and every other class of the bucket
    is a member of that centre's star. Two classes that share a bucket are thus in one star. A star has a row for
    each member, not for each pair.
-3. Stars are cut into chunks of CHUNK members or so, each with the centre. In a chunk, a document outside the
-   largest component so far is compared with all others of other components, and in the end so are documents that
-   were in the largest of their time with each other, where they are not joined: those whose registers make
-   similarity 0.85 unlikely by REJECT nats, jointly with both sets' sizes, are ruled out, and the rest are verified
-   on full sets. Links leave as a forest, at most one for each member.
+3. Stars are cut into chunks of CHUNK members or so (fewer if their sets are large), each with the centre. First only
+   registers are dealt: a member that has no other in its chunk to which the similarity asked for is less likely by
+   no more than REJECT nats, jointly with both sets' sizes, goes no further. The texts of the others meet, once a
+   chunk, and there a document outside the largest component so far is compared with all others of other components,
+   and in the end so are documents that were in the largest of their time with each other, where they are not joined:
+   pairs that the likelihood leaves are verified on full sets. Links leave as a forest, at most one for each member.
 4. Links are joined into components by alternating large and small stars.
-5. Where a star was cut, its members outside the centre's component are compared with the members of all its
-   chunks in blocks, so no pair is left out; then 4 again.
+5. Where a star was cut, the registers of its members outside the centre's component are dealt with those of all its
+   members in cells of a block and a chunk, so no pair is left out; again only texts with a likely partner in the cell
+   meet there; then 4 again.
 
 Documents without words or text are linked with nothing, and kept. A null id is never a component's id unless the
-component has no other; rows of one id are judged by their texts. Repeated rows share class and result. An empty
-table gives an empty result. Only the id and the text are read, so other columns may have any name.
+component has no other; rows of one id are judged by their texts. Repeated rows share class and result; of documents that tie
+for a group's least id, as repeated rows do, all are marked as kept, and deduplicated() keeps one. Texts may be of any length;
+their sets are made one by one. An empty table gives an empty result. Only the id and the text are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -32,19 +36,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keeps, mixed, sliced, stored, worker
 
-#: Registers, rows in a band, bands. Two sets of similarity 0.85 share no band once in 10**9.
+#: Registers, rows in a band, bands. Two sets of similarity 0.85 share no band 7 times in 10**9.
 REGISTERS, ROWS = 160, 5
 BANDS = REGISTERS // ROWS
 #: SetSketch parameters: base of the exponential spacing, rate, largest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 WORDS, NUM, DEN = 3, 85, 100
-#: Members of a star that are compared in one group at most, or nearly so; nats of likelihood that rule a pair out.
-CHUNK, REJECT = 1000, 18.0
+#: Members of a star that meet in one group, or nearly so, first and in a cell of the later step; shingles of all of them; nats of
+#: likelihood that rule a pair out.
+CHUNK, CROSS, SHINGLES, REJECT = 250, 1000, 4_000_000, 18.0
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
@@ -164,19 +169,24 @@ def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, left: np.nd
     return out
 
 
-def _sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """rid (a number of the row), key, n, class (of equal sets) and registers of each row."""
+def _printed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, print and text; key and print find a text again."""
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
+
+
+def _sketched(docs: DataFrame) -> DataFrame:
+    """rid (a number of the row), key, print, n, class (of equal sets) and registers of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 36
-        for batch in (x for b in batches for x in sliced(b, 1)):
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            rows = [pa.array(range(rid, rid + len(sets)), pa.int64()), batch.column(0), pa.array([len(x) for x in sets], pa.int64())]
+        for batch in (x for b in batches for x in sliced(b, 2)):
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            rows = [pa.array(range(rid, rid + len(sets)), pa.int64()), batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64())]
             rows += [pa.array([_class(x) for x in sets], pa.binary()), pa.array([registers(x).tobytes() if len(x) else None for x in sets], pa.binary())]
             rid += len(sets)
-            yield pa.RecordBatch.from_arrays(rows, ["rid", "key", "n", "class", "registers"])
+            yield pa.RecordBatch.from_arrays(rows, ["rid", "key", "print", "n", "class", "registers"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(worker(run, "near"), "rid bigint, key bigint, n bigint, class binary, registers binary")
+    return docs.mapInArrow(worker(run, "near"), "rid bigint, key bigint, print bigint, n bigint, class binary, registers binary")
 
 
 def _class(x: np.ndarray) -> bytes:
@@ -200,16 +210,17 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """u, v: each linked node and the least node of its component, from links (u, v); by alternating large and small stars."""
+    """u, v: each linked node and the least node of its component, from links (u, v); by alternating large and small stars. Both
+    sides of every join are tables, so that a hub's links can be split between tasks."""
     edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u != v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -220,94 +231,149 @@ def components(links: DataFrame) -> DataFrame:
 _LINK = "u bigint, v bigint"
 
 
-def _linked_in_chunks(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Links within each chunk of rows (key columns, side, cid, label, text): for side null all pairs, else pairs of side 0 with side 1."""
-    rows = rows.select(*key, "side", "cid", "label", "text")
-    rows = rows.repartition(*key).sortWithinPartitions(*key, "side", "cid")
-    n = len(key)
+def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """The rows of each run of equal first `n` columns, as lists."""
+    at, group = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n] != at:
+                if group:
+                    yield at, group
+                at, group = row[:n], []
+            group.append(row[n:])
+    if group:
+        yield at, group
+
+
+def likely(side: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which sets have a partner, of another label and on the other side where there are sides, that the likelihood does not rule out.
+    Without sides, the first set is the centre: who has it as partner needs no other."""
+    hit = np.zeros(len(sizes), bool)
+
+    def compare(i: int, among: np.ndarray) -> None:
+        at = np.flatnonzero(among & (labels != labels[i]) & (DEN * np.minimum(sizes, sizes[i]) >= NUM * np.maximum(sizes, sizes[i])))
+        if len(at) and len(at := at[~unlikely(sketches[i], sketches[at], int(sizes[i]), sizes[at])]):
+            hit[i] = hit[at] = True
+
+    everyone = np.ones(len(sizes), bool) if side is None else side == 1
+    if side is None:
+        compare(0, everyone)
+    for i in np.flatnonzero(~hit) if side is None else np.flatnonzero(side == 0):
+        compare(i, everyone)
+    return hit
+
+
+def _likely_in_cells(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows (key columns, side, cid, label) whose registers leave a partner in their cell, of rows with n and registers besides."""
+    kinds = dict(rows.dtypes)
+    rows = rows.select(*key, "side", "cid", "label", "n", "registers").repartition(*key).sortWithinPartitions(*key, "side", "cid")
+    names = [*key, "side", "cid", "label"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, group in _grouped(batches, len(key)):
+            group = list({(r[0], r[1]): r for r in group}.values())
+            # a star's centre is its first key column
+            group.sort(key=lambda r: (r[0] is None and r[1] != cell[0], r[0] or 0, r[1]))
+            side = None if group[0][0] is None else np.array([r[0] for r in group])
+            hit = likely(side, np.array([r[3] for r in group]), np.stack([np.frombuffer(r[4], np.uint16) for r in group]), np.array([r[2] for r in group]))
+            kept = [(*cell, *r[:3]) for r, h in zip(group, hit, strict=True) if h]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int32() if kinds[c] == "int" else pa.int64()) for i, c in enumerate(names)], names)
+
+    return rows.mapInArrow(worker(run, "near"), ", ".join(f"{c} {kinds[c]}" for c in names))
 
-    def flush(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        unique = list({(r[0], r[1]): r for r in group}.values())
-        side = np.array([r[0] == 0 for r in unique])
-        cids, labels = np.array([r[1] for r in unique], np.int64), np.array([r[2] for r in unique], np.int64)
-        for i, j in linked([r[3] for r in unique], labels, None if unique[0][0] is None else side):
-            yield int(cids[i]), int(cids[j])
+
+def _linked_in_cells(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Links within each cell of rows (key columns, side, cid, label, text): for side null all pairs, else pairs of side 0 with side 1."""
+    rows = rows.select(*key, "side", "cid", "label", "text").repartition(*key).sortWithinPartitions(*key, "side", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
-        for batch in (x for b in batches for x in sliced(b, b.num_columns - 1)):
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:n] != at:
-                    if len(group) > 1:
-                        found += flush(group)
-                    at, group = row[:n], []
-                group.append((row[n], row[n + 1], row[n + 2], shingles(row[n + 3])))
-            yield _links(found)
-        if len(group) > 1:
-            yield _links(list(flush(group)))
+        # a text becomes its set as soon as it is read
+        batches = (x for b in batches for x in sliced(b, b.num_columns - 1))
+        for _, group in _grouped((_with_sets(b) for b in batches), len(key)):
+            unique = list({(r[0], r[1]): r for r in group}.values())
+            if len(unique) > 1:
+                side = np.array([r[0] == 0 for r in unique])
+                cids, labels = np.array([r[1] for r in unique], np.int64), np.array([r[2] for r in unique], np.int64)
+                found = linked([np.frombuffer(r[3], np.uint64) for r in unique], labels, None if unique[0][0] is None else side)
+                yield pa.RecordBatch.from_arrays([pa.array([int(cids[x[k]]) for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return rows.mapInArrow(worker(run, "near"), _LINK)
 
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+def _with_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = pa.array([shingles(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()], pa.large_binary())
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], names=batch.schema.names)
+
+
+class _Corpus:
+    """The classes of equal sets, and where their texts are."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        self.texts = _printed(docs, key, text)
+        self.rows = stored(_sketched(self.texts), "sketches")
+        first, low = F.min(F.struct("rid", "n", "registers")).alias("f"), F.min(F.struct("key", "print")).alias("p")
+        found = self.rows.where("n > 0").groupBy("class").agg(first, low, F.min("key").alias("low"))
+        self.classes = stored(found.select("class", F.col("f.rid").alias("cid"), "f.n", "f.registers", "p.key", "p.print", "low"), "classes")
+
+    def with_registers(self, members: DataFrame) -> DataFrame:
+        return members.join(self.classes.select("cid", "n", "registers").hint("merge"), "cid")
+
+    def with_text(self, members: DataFrame) -> DataFrame:
+        """`members` with the text that stands for their class: each text is fetched once, then goes to each of its cells."""
+        # by sorting at every size: what needs texts grows with the documents, and small inputs then foretell large ones
+        need = members.select("cid").distinct().join(self.classes.select("cid", F.col("key").alias("_key"), F.col("print").alias("_print")), "cid")
+        found = self.texts.where("text is not null").join(need.hint("merge"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print")))
+        once = found.groupBy("_key", "_print", "cid").agg(F.first("text").alias("text"))  # repeated rows have one text
+        return members.join(once.select("cid", "text").hint("merge"), "cid")
+
+    def links(self, members: DataFrame, key: list[str]) -> DataFrame:
+        return _linked_in_cells(self.with_text(stored(_likely_in_cells(self.with_registers(members), key), "likely")), key)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (least key of the component) and kept of every document."""
-    rows = stored(_sketched(docs, key, text), "sketches")
-    first = F.min(F.struct("rid", "n", "registers")).alias("f")
-    classes = stored(rows.where("n > 0").groupBy("class").agg(first, F.min("key").alias("low")).select("class", "f.*", "low").withColumnRenamed("rid", "cid"), "classes")
+    corpus = _Corpus(docs, key, text)
+    rows, classes = corpus.rows, corpus.classes
     buckets = _buckets(classes)
-    centres = buckets.groupBy("bucket").agg(F.min("cid").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "c")
-    stars = stored(buckets.join(centres, "bucket").where("cid != c").select("c", "cid").distinct(), "stars")
-    sized = stars.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    member = stars.join(sized, "c").select("c", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk"), "cid")
+    centres = stored(buckets.groupBy("bucket").agg(F.min("cid").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "c"), "centres")
+    stars = stored(buckets.join(centres.hint("merge"), "bucket").where("cid != c").select("c", "cid").distinct(), "stars")
+    sizes = stars.join(classes.select("cid", "n").hint("merge"), "cid").groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    sized = stored(sizes.select("c", _parts("m", "s", CHUNK).alias("chunks"), _parts("m", "s", CROSS).alias("crosses")), "sized")
+    member = stars.join(sized.hint("merge"), "c").select("c", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk"), "cid")
     centre = sized.select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("c").alias("cid"))
-    # the text of a class comes from the row that has its least key: a join by class alone would repeat it for every copy
-    known = classes.select("cid", "class", "low")
-    texts = docs.select(F.col(key).cast("long").alias("low"), F.col(text).alias("text")).where("text is not null")
-
-    def with_text(need: DataFrame) -> DataFrame:
-        # by sorting at every size: what needs texts grows with the documents, and small inputs then foretell large ones
-        return _classed(texts).join(need.join(known, "cid").withColumnRenamed("low", "_low").hint("merge"), "class").where(F.col("low").eqNullSafe(F.col("_low"))).drop("class", "low", "_low")
-
-    need = member.unionByName(centre).withColumns({"side": F.lit(None).cast("int"), "label": F.col("cid")})
-    links = _linked_in_chunks(with_text(need), ["c", "chunk"])
-    joined = components(links)
+    all_pairs = {"side": F.lit(None).cast("int"), "label": F.col("cid")}
+    joined = components(corpus.links(member.unionByName(centre).withColumns(all_pairs), ["c", "chunk"]))
     cut = sized.where("chunks > 1")
     if not cut.isEmpty():
-        joined = _across(joined, stars.join(cut, "c"), with_text)
-    label = classes.select("cid", "class", "low").join(joined.select(F.col("u").alias("cid"), F.col("v").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    lows = label.groupBy("root").agg(F.min("low").alias("component"))
-    by_class = label.join(lows, "root").select("class", "component")
-    out = rows.where("n > 0").select("key", "n", "class").join(by_class, "class").select("key", "n", "component")
+        joined = _across(corpus, joined, stars.join(cut.hint("merge"), "c").select("c", "cid", F.col("crosses").alias("chunks")))
+    label = classes.select("cid", "class", "low").join(joined.select(F.col("u").alias("cid"), F.col("v").alias("root")).hint("merge"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    label = stored(label, "labels")
+    # tables on both sides of each join, so that a component or class with a third of the rows is split between tasks
+    lows = stored(label.groupBy("root").agg(F.min("low").alias("component")), "lows")
+    by_class = stored(label.join(lows.hint("merge"), "root").select("class", "component"), "components")
+    out = rows.where("n > 0").select("key", "n", "class").join(by_class.hint("merge"), "class").select("key", "n", "component")
     out = out.unionByName(rows.where("n = 0").select("key", "n", F.col("key").alias("component")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def _classed(texts: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in sliced(b, 1)):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_class(shingles(t)) for t in batch.column(1).to_pylist()], pa.binary())], names=["low", "text", "class"])
-
-    return texts.mapInArrow(worker(run, "near"), "low bigint, text string, class binary")
+def _parts(count: str, shingles: str, most: int) -> Column:
+    return F.ceil(F.greatest(F.col(count) / most, F.col(shingles) / SHINGLES)).cast("int")
 
 
-def _across(joined: DataFrame, cut: DataFrame, with_text) -> DataFrame:
+def _across(corpus: _Corpus, joined: DataFrame, cut: DataFrame) -> DataFrame:
     """Components with the links between different chunks of the stars in `cut` (c, cid, chunks) as well."""
     of = joined.select(F.col("u").alias("cid"), F.col("v").alias("label"))
-    at = cut.join(of, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    at = cut.select("c", "cid", "chunks").join(of.hint("merge"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     home = of.withColumnsRenamed({"cid": "c", "label": "home"})
-    at = stored(at.join(home, "c", "left").withColumn("home", F.coalesce("home", "c")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")), "across")
+    at = stored(at.join(home.hint("merge"), "c", "left").withColumn("home", F.coalesce("home", "c")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")), "across")
     outside = at.where("label != home")
-    blocks = outside.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("blocks"))
+    counts = outside.join(corpus.classes.select("cid", "n").hint("merge"), "cid").groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    blocks = stored(counts.select("c", _parts("m", "s", CROSS).alias("blocks")), "blocks")
     # side 0: the members outside the centre's component, in blocks, sent to every chunk; side 1: all members of a chunk, sent to every block
-    zero = outside.join(blocks, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "cid", "label")
-    one = at.join(blocks, "c").select("c", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cid", "label")
-    more = _linked_in_chunks(with_text(zero.unionByName(one)), ["c", "chunk", "block"])
-    return components(joined.unionByName(more))
+    zero = outside.join(blocks.hint("merge"), "c").select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "cid", "label")
+    one = at.join(blocks.hint("merge"), "c").select("c", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cid", "label")
+    return components(joined.unionByName(corpus.links(zero.unionByName(one), ["c", "chunk", "block"])))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

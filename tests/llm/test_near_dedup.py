@@ -32,10 +32,11 @@ def test_trouble(spark, tmp_path):
     compare(spark, rows(), tmp_path)
 
 
-@pytest.mark.parametrize("chunk", [1000, 5])
+@pytest.mark.parametrize("chunk", [1000, 6])
 def test_groups_near_the_threshold(spark, tmp_path, monkeypatch, chunk):
     """Copies at all distances, so stars hold many components; small chunks make them be cut."""
     monkeypatch.setattr(N, "CHUNK", chunk)
+    monkeypatch.setattr(N, "CROSS", chunk + 3)
     data = []
     for g in range(3):
         base = prose(g + 50, 150).split()
@@ -89,3 +90,22 @@ def test_components_of_long_chains(spark):
 
 def test_empty(spark):
     assert N.near_duplicates(empty(spark)).collect() == [] and N.deduplicated(empty(spark)).collect() == []
+
+
+def test_texts_move_only_where_registers_leave_a_partner(spark, monkeypatch):
+    """Of a family of similarity 0.6 no pair links; its members share buckets, but hardly a text is dealt."""
+    dealt = []
+    whole = N._linked_in_cells
+    monkeypatch.setattr(N, "_linked_in_cells", lambda rows, key: whole(dealt.append(rows.count()) or rows, key))
+    monkeypatch.setattr(N, "CHUNK", 50)
+    monkeypatch.setattr(N, "CROSS", 100)
+    frame_words = prose(5, 240).split()
+    data = []
+    for i in range(300):
+        w = list(frame_words)
+        for k in range(0, 240, 8):
+            w[k : k + 2] = [f"x{i}", f"y{i}"]
+        data.append((i, " ".join(w), "en", "s", 0))
+    found = N.near_duplicates(frame(spark, data)).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in found) and len(found) == 300
+    assert sum(dealt) < 60, dealt
