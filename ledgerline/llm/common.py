@@ -101,12 +101,6 @@ def lower_ascii(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def freed(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of finished steps now; they go when the driver's garbage is collected."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 #: Bytes of text that a Python worker takes at a time, or one text if that is longer.
 SLICE_BYTES = 4_000_000
 

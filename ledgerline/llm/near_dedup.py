@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +47,31 @@ REGISTERS, ROWS = 160, 5
 BANDS = REGISTERS // ROWS
 #: SetSketch parameters: base of the exponential spacing, rate, largest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-WORDS, NUM, DEN = 3, 85, 100
 #: Members of a star that meet in one group, or nearly so, first and in a cell of the later step; shingles of all of them; nats of
 #: likelihood that rule a pair out.
 CHUNK, CROSS, SHINGLES, REJECT = 250, 1000, 4_000_000, 18.0
+
+
+class Rule(NamedTuple):
+    """Words of a shingle; documents are linked at a similarity of num / den or more."""
+
+    words: int = 5
+    num: int = 80
+    den: int = 100
+
+    def near(self, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
+        """Whether sets of these sizes can be similar enough."""
+        return self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
+
+
+#: What the query of this operator is asked for, and what everything else takes.
+CONTRACT, FIVE = Rule(3, 85, 100), Rule()
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(1, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _ADD = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)[:, None]
-_PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_PLACE += [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(2, 30)]
 
 
 class _Numbers(dict):
@@ -71,15 +88,15 @@ _numbers = _Numbers()
 keeps("near", _numbers.clear)
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, w: int = CONTRACT.words) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit numbers."""
     words = text.encode().translate(LOWER_TABLE).split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
     x = np.fromiter(map(_numbers.__getitem__, words), np.uint64, len(words))
-    if len(x) < WORDS:
+    if len(x) < w:
         return mixed((x * np.array(_PLACE[: len(x)], np.uint64)).sum(keepdims=True), len(x))
-    return np.unique(mixed(sum(x[k : len(x) - WORDS + 1 + k] * _PLACE[k] for k in range(WORDS)), WORDS))
+    return np.unique(mixed(sum(x[k : len(x) - w + 1 + k] * _PLACE[k] for k in range(w)), w))
 
 
 def registers(x: np.ndarray) -> np.ndarray:
@@ -98,8 +115,8 @@ def _p(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
 
 
-def unlikely(own: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
-    """Which of `others` (rows of registers) are so dissimilar to `own` that similarity NUM/DEN is REJECT nats less likely than the best fit."""
+def unlikely(own: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
+    """Which of `others` (rows of registers) are so dissimilar to `own` that the rule's similarity is REJECT nats less likely than the best fit."""
     more, less = (own > others).sum(axis=1)[:, None], (own < others).sum(axis=1)[:, None]
     u = (size / (size + sizes))[:, None]
     v = 1 - u
@@ -109,7 +126,7 @@ def unlikely(own: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray)
         a, b = _p(u - v * j), _p(v - u * j)
         return more * np.log(a + 1e-12) + less * np.log(b + 1e-12) + (REGISTERS - more - less) * np.log(np.maximum(1 - a - b, 1e-12))
 
-    wanted = NUM / DEN
+    wanted = rule.num / rule.den
     return fit(_GRID[_GRID < wanted][None, :]).max(axis=1) - fit(np.minimum(wanted, top))[:, 0] > REJECT
 
 
@@ -125,8 +142,8 @@ class _Forest:
         return True
 
 
-def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join all pairs of sets with similarity NUM/DEN or more, as a forest. Sets of equal `labels` are joined
+def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, left: np.ndarray | None = None, rule: Rule = CONTRACT) -> list[tuple[int, int]]:
+    """Links that join all pairs of sets that the rule links, as a forest. Sets of equal `labels` are joined
     already. With `left`, only pairs with one set in it and one outside are compared."""
     n, out = len(sets), []
     forest = _Forest(n)
@@ -137,14 +154,14 @@ def linked(sets: list[np.ndarray], labels: np.ndarray | None = None, left: np.nd
 
     def compare(i: int, among: np.ndarray | bool) -> None:
         label = forest.label
-        at = np.flatnonzero((label != label[i]) & (DEN * np.minimum(sizes, sizes[i]) >= NUM * np.maximum(sizes, sizes[i])) & among)
-        at = at[~unlikely(sketches[i], sketches[at], int(sizes[i]), sizes[at])] if len(at) else at
+        at = np.flatnonzero((label != label[i]) & rule.near(sizes, sizes[i]) & among)
+        at = at[~unlikely(sketches[i], sketches[at], int(sizes[i]), sizes[at], rule)] if len(at) else at
         for k in range(0, len(at), 256):
             part = at[k : k + 256]
             bounds = np.cumsum([0, *sizes[part]])
             members = np.concatenate([sets[j] for j in part])
             common = np.add.reduceat(sets[i][np.minimum(np.searchsorted(sets[i], members), sizes[i] - 1)] == members, bounds[:-1])
-            good = DEN * common >= NUM * (sizes[i] + sizes[part] - common)
+            good = rule.den * common >= rule.num * (sizes[i] + sizes[part] - common)
             for j in part[good]:
                 if forest.join(int(i), int(j)):
                     out.append((int(i), int(j)))
@@ -174,13 +191,13 @@ def _printed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def _sketched(docs: DataFrame, rule: Rule) -> DataFrame:
     """rid (a number of the row), key, print, n, class (of equal sets) and registers of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 36
         for batch in (x for b in batches for x in sliced(b, 2)):
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            sets = [shingles(t, rule.words) for t in batch.column(2).to_pylist()]
             rows = [pa.array(range(rid, rid + len(sets)), pa.int64()), batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64())]
             rows += [pa.array([_class(x) for x in sets], pa.binary()), pa.array([registers(x).tobytes() if len(x) else None for x in sets], pa.binary())]
             rid += len(sets)
@@ -245,14 +262,14 @@ def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
         yield at, group
 
 
-def likely(side: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def likely(side: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray, labels: np.ndarray, rule: Rule = CONTRACT) -> np.ndarray:
     """Which sets have a partner, of another label and on the other side where there are sides, that the likelihood does not rule out.
     Without sides, the first set is the centre: who has it as partner needs no other."""
     hit = np.zeros(len(sizes), bool)
 
     def compare(i: int, among: np.ndarray) -> None:
-        at = np.flatnonzero(among & (labels != labels[i]) & (DEN * np.minimum(sizes, sizes[i]) >= NUM * np.maximum(sizes, sizes[i])))
-        if len(at) and len(at := at[~unlikely(sketches[i], sketches[at], int(sizes[i]), sizes[at])]):
+        at = np.flatnonzero(among & (labels != labels[i]) & rule.near(sizes, sizes[i]))
+        if len(at) and len(at := at[~unlikely(sketches[i], sketches[at], int(sizes[i]), sizes[at], rule)]):
             hit[i] = hit[at] = True
 
     everyone = np.ones(len(sizes), bool) if side is None else side == 1
@@ -263,7 +280,7 @@ def likely(side: np.ndarray | None, sizes: np.ndarray, sketches: np.ndarray, lab
     return hit
 
 
-def _likely_in_cells(rows: DataFrame, key: list[str]) -> DataFrame:
+def _likely_in_cells(rows: DataFrame, key: list[str], rule: Rule) -> DataFrame:
     """The rows (key columns, side, cid, label) whose registers leave a partner in their cell, of rows with n and registers besides."""
     kinds = dict(rows.dtypes)
     rows = rows.select(*key, "side", "cid", "label", "n", "registers").repartition(*key).sortWithinPartitions(*key, "side", "cid")
@@ -275,7 +292,7 @@ def _likely_in_cells(rows: DataFrame, key: list[str]) -> DataFrame:
             # a star's centre is its first key column
             group.sort(key=lambda r: (r[0] is None and r[1] != cell[0], r[0] or 0, r[1]))
             side = None if group[0][0] is None else np.array([r[0] for r in group])
-            hit = likely(side, np.array([r[3] for r in group]), np.stack([np.frombuffer(r[4], np.uint16) for r in group]), np.array([r[2] for r in group]))
+            hit = likely(side, np.array([r[3] for r in group]), np.stack([np.frombuffer(r[4], np.uint16) for r in group]), np.array([r[2] for r in group]), rule)
             kept = [(*cell, *r[:3]) for r, h in zip(group, hit, strict=True) if h]
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int32() if kinds[c] == "int" else pa.int64()) for i, c in enumerate(names)], names)
@@ -283,35 +300,36 @@ def _likely_in_cells(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.mapInArrow(worker(run, "near"), ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
-def _linked_in_cells(rows: DataFrame, key: list[str]) -> DataFrame:
+def _linked_in_cells(rows: DataFrame, key: list[str], rule: Rule) -> DataFrame:
     """Links within each cell of rows (key columns, side, cid, label, text): for side null all pairs, else pairs of side 0 with side 1."""
     rows = rows.select(*key, "side", "cid", "label", "text").repartition(*key).sortWithinPartitions(*key, "side", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a text becomes its set as soon as it is read
         batches = (x for b in batches for x in sliced(b, b.num_columns - 1))
-        for _, group in _grouped((_with_sets(b) for b in batches), len(key)):
+        for _, group in _grouped((_with_sets(b, rule) for b in batches), len(key)):
             unique = list({(r[0], r[1]): r for r in group}.values())
             if len(unique) > 1:
                 side = np.array([r[0] == 0 for r in unique])
                 cids, labels = np.array([r[1] for r in unique], np.int64), np.array([r[2] for r in unique], np.int64)
-                found = linked([np.frombuffer(r[3], np.uint64) for r in unique], labels, None if unique[0][0] is None else side)
+                found = linked([np.frombuffer(r[3], np.uint64) for r in unique], labels, None if unique[0][0] is None else side, rule)
                 yield pa.RecordBatch.from_arrays([pa.array([int(cids[x[k]]) for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return rows.mapInArrow(worker(run, "near"), _LINK)
 
 
-def _with_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = pa.array([shingles(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()], pa.large_binary())
+def _with_sets(batch: pa.RecordBatch, rule: Rule) -> pa.RecordBatch:
+    sets = pa.array([shingles(t, rule.words).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()], pa.large_binary())
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], names=batch.schema.names)
 
 
 class _Corpus:
     """The classes of equal sets, and where their texts are."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str):
+    def __init__(self, docs: DataFrame, key: str, text: str, rule: Rule):
+        self.rule = rule
         self.texts = _printed(docs, key, text)
-        self.rows = stored(_sketched(self.texts), "sketches")
+        self.rows = stored(_sketched(self.texts, rule), "sketches")
         first, low = F.min(F.struct("rid", "n", "registers")).alias("f"), F.min(F.struct("key", "print")).alias("p")
         found = self.rows.where("n > 0").groupBy("class").agg(first, low, F.min("key").alias("low"))
         self.classes = stored(found.select("class", F.col("f.rid").alias("cid"), "f.n", "f.registers", "p.key", "p.print", "low"), "classes")
@@ -328,12 +346,12 @@ class _Corpus:
         return members.join(once.select("cid", "text").hint("merge"), "cid")
 
     def links(self, members: DataFrame, key: list[str]) -> DataFrame:
-        return _linked_in_cells(self.with_text(stored(_likely_in_cells(self.with_registers(members), key), "likely")), key)
+        return _linked_in_cells(self.with_text(stored(_likely_in_cells(self.with_registers(members), key, self.rule), "likely")), key, self.rule)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = FIVE) -> DataFrame:
     """key, n_shingles, component_id (least key of the component) and kept of every document."""
-    corpus = _Corpus(docs, key, text)
+    corpus = _Corpus(docs, key, text, rule)
     rows, classes = corpus.rows, corpus.classes
     buckets = _buckets(classes)
     centres = stored(buckets.groupBy("bucket").agg(F.min("cid").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", "c"), "centres")
@@ -376,9 +394,9 @@ def _across(corpus: _Corpus, joined: DataFrame, cut: DataFrame) -> DataFrame:
     return components(joined.unionByName(corpus.links(zero.unionByName(one), ["c", "chunk", "block"])))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = FIVE) -> DataFrame:
     """The rows of `docs` of which one document of each group stays, unchanged; of repeated rows one stays."""
-    found = stored(near_duplicates(docs, key, text), "verdicts")
+    found = stored(near_duplicates(docs, key, text, rule), "verdicts")
     name = "_kept"
     while name in docs.columns:
         name += "_"

@@ -4,20 +4,25 @@ Suffixes are sampled by content: a position is an anchor if the hash of its lead
 consecutive ones, W = LENGTH - K + 1. Every string of LENGTH bytes holds an anchor that follows from the string
 alone, so two equal strings hold equal anchors at equal offsets, and comparing anchors loses nothing.
 
-1. Anchors go out as (fingerprint of the leading K bytes, fingerprint of the whole context of W - 1 bytes before
-   and LENGTH after, place). Splitters sampled from them range-partition them; each bucket is sorted by leading
-   fingerprint, then context, and read as a stream. Anchors whose context occurs twice lie inside a repeat: all
-   their windows are covered. An anchor whose leading bytes occur once is in none. Groups at a bucket's ends, which
-   may go on in the next bucket, are compared across boundaries by aggregation and join, however large they are.
-2. The other anchors, at the edges of repeats, fetch their contexts. Anchors of equal leading bytes meet once more
-   and compare the fingerprints of every window of LENGTH bytes around them, offset by offset, without pairs. A group
-   of more than GROUP contexts sends its windows' fingerprints out as rows to be counted instead.
+1. A suffix goes out as its leading HEAD bytes in words of eight, the fingerprint of its leading K bytes, the fingerprint of
+   the whole context of W - 1 bytes before and LENGTH after, and its place. Splitters sampled from the suffixes
+   range-partition them by these leading words; a bucket is sorted by multikey quicksort, word by word, and neighbours in
+   it are compared. Suffixes whose context occurs twice lie inside a repeat: all their windows are covered. One whose
+   leading K bytes occur once is in none. Groups at a bucket's ends, which may go on in the next bucket, are compared across
+   boundaries by aggregation and join, however large they are. There are as many buckets as keep each at BUCKET suffixes.
+2. The other suffixes, at the edges of repeats, fetch their contexts, one for each distinct text and place. Those of equal
+   leading bytes meet once more and compare the fingerprints of every window of LENGTH bytes around them, offset by
+   offset, without pairs. A group of more than GROUP contexts does not meet: its contexts send out, for each RANGE of
+   offsets, the fingerprint of what all windows of the range share and of all that they span. If the span occurs twice all
+   its windows do, if the shared part occurs once none does; only the windows of the ranges between, and of one context for
+   each repeated span, are counted one by one.
 3. The covered intervals come together by document, and the text gives them up.
 
 Fingerprints have 64 bits. Documents are identified by a 64-bit fingerprint and their length, so equal documents share
 their result. Null text is empty text. Texts of fewer than LENGTH bytes lose nothing, and matches never cross
-documents. Repeated rows are repeats of each other. An empty table gives an empty result. Only the id and the text are
-read, so other columns may have any name.
+documents. Very long texts are cut into overlapping blocks for sampling. Null ids and tied ids are kept as they are. Repeated
+rows are repeats of each other. An empty table gives an empty result. Only the id and the text are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -27,16 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, mixed, sliced, stored, worker
+from .common import mixed, sliced, stored, worker
 
-LENGTH, K = 200, 64
+LENGTH, K, HEAD = 200, 64, 16
 W = LENGTH - K + 1
-#: Contexts of equal leading bytes that are compared in one task; larger groups are counted as rows.
-GROUP = 50_000
+#: Suffixes of a bucket, about; a part of it that is small enough is sorted at once.
+BUCKET, SMALL = 1_000_000, 4096
+#: Contexts of equal leading bytes that meet in one task at most; offsets that those of a larger group compare together.
+GROUP, RANGE = 500, 17
 #: Contexts that are worked on together, and windows fingerprinted at a time.
 TOGETHER, CELLS = 2000, 300_000
 #: Bytes of text that are worked on at a time; longer texts are cut with enough overlap for anchors and contexts.
@@ -107,50 +113,82 @@ def anchors(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, text, hashes.of(at, at + K), context
 
 
-def _identity(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+def heads(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The leading HEAD bytes at each place, in words whose order as integers is that of the bytes."""
+    words = raw[at[:, None] + np.arange(HEAD)].reshape(-1, 8).view(">u8").reshape(len(at), HEAD // 8)
+    return [(words[:, k].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64) for k in range(HEAD // 8)]
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their columns in turn, by multikey quicksort: a part is split in three by a pivot of one column, and only
+    the middle one, equal in it, goes on to the next column."""
+    order = np.arange(len(columns[0]))
+    parts = [(0, len(order), 0)]
+    while parts:
+        low, high, depth = parts.pop()
+        if high - low < 2 or depth == len(columns):
+            continue
+        rows = order[low:high]
+        if high - low <= SMALL:
+            order[low:high] = rows[np.lexsort([c[rows] for c in reversed(columns[depth:])])]
+            continue
+        x = columns[depth][rows]
+        pivot = np.partition(x[:: max(1, len(x) // 31)], len(x[:: max(1, len(x) // 31)]) // 2)[len(x[:: max(1, len(x) // 31)]) // 2]
+        less, more = rows[x < pivot], rows[x > pivot]
+        order[low:high] = np.concatenate([less, rows[x == pivot], more])
+        first, last = low + len(less), high - len(more)
+        parts += [(low, first, depth), (first, last, depth + 1), (last, high, depth)]
+    return order
+
+
+def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, who, length: who and length, in bytes, stand for the text."""
+    text_ = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("key"), text_.alias("text"), F.xxhash64(text_).alias("who"), F.octet_length(text_).cast("long").alias("length"))
+
+
+def _pieces(rows: list[tuple[str, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of whole texts, or of parts of one: bytes, bounds; by text: identity, length, place in the whole, start and end of what counts."""
-    parts, rows, size = [], [], 0
+    parts, told, size = [], [], 0
 
     def block():
         bounds = np.cumsum([0, *map(len, parts)])
-        return np.frombuffer(b"".join(parts), np.uint8), bounds, *(np.array([r[k] for r in rows], np.int64) for k in range(5))
+        return np.frombuffer(b"".join(parts), np.uint8), bounds, *(np.array([r[k] for r in told], np.int64) for k in range(5))
 
-    for t in texts:
-        raw = (t or "").encode()
-        if len(raw) < LENGTH:
+    for text, who, length in rows:
+        if length < LENGTH:
             continue
-        who = _identity(raw)
+        raw = text.encode()
         for start in range(0, len(raw), BLOCK):
             end = min(start + BLOCK, len(raw))
             low, high = max(0, start - OVERLAP), min(len(raw), end + OVERLAP)
             if size and size + high - low > BLOCK:
                 yield block()
-                parts, rows, size = [], [], 0
+                parts, told, size = [], [], 0
             parts.append(raw[low:high])
-            rows.append((who, len(raw), low, start - low, end - low))
+            told.append((who, length, low, start - low, end - low))
             size += high - low
     if parts:
         yield block()
 
 
+_SUFFIX = [*(f"w{k}" for k in range(HEAD // 8)), "lead", "context", "who", "at"]
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
-    """lead, context, who, at: a row for each anchor; `at` holds the text's length and the place in it."""
+    """A row for each sampled suffix; `at` holds the text's length and the place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in sliced(b, 0)):
-            for raw, bounds, who, length, place, first, last in _pieces(batch.column(0).to_pylist()):
+            for raw, bounds, who, length, place, first, last in _pieces(list(zip(*(c.to_pylist() for c in batch.columns), strict=True))):
                 at, text, lead, context = anchors(raw, bounds)
                 own = at - bounds[text]
                 keep = (own >= first[text]) & (own < last[text])
-                at, text, lead, context = own[keep], text[keep], lead[keep], context[keep]
-                rows = [lead.view(np.int64), context.view(np.int64), who[text], (length[text] << 32) | (at + place[text])]
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["lead", "context", "who", "at"])
+                at, text, lead, context = at[keep], text[keep], lead[keep], context[keep]
+                rows = [*heads(raw, at), lead.view(np.int64), context.view(np.int64), who[text], (length[text] << 32) | (at - bounds[text] + place[text])]
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], _SUFFIX)
 
-    return docs.select("text").mapInArrow(worker(run), "lead bigint, context bigint, who bigint, at bigint")
+    return docs.select("text", "who", "length").mapInArrow(worker(run), ", ".join(f"{c} bigint" for c in _SUFFIX))
 
 
 #: What becomes of an anchor: inside a repeat; to be compared by its context; both (the one that stands for equal contexts). At a
@@ -172,36 +210,30 @@ def _marks(lead: np.ndarray, context: np.ndarray) -> np.ndarray:
     return np.where(several & run, np.where(twice, BOTH, COMPARE), np.where(twice, INSIDE, -1)).astype(np.int32)
 
 
-def _bucketed(found: DataFrame) -> DataFrame:
-    """The anchors of repeats with their marks."""
+def _bucketed(suffixes: DataFrame, n: int) -> DataFrame:
+    """The suffixes of repeats with their marks, from `n` buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, edge = None, True, None
-        for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-            rows = rows if held is None else np.concatenate([held, rows])
-            if not len(rows):
-                continue
-            # the last group may go on in the next batch; a group that fills a whole batch is left to the boundary step
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left"))
-            start = 0
-            if first or edge == rows[0, 0]:
-                start = int(np.searchsorted(rows[:, 0], rows[0, 0], "right"))
-                edge, first = rows[0, 0], False
-                yield _edge(rows[:start])
-            if start < last:
-                yield _marked(rows[start:last], _marks(rows[start:last, 0], rows[start:last, 1]))
-            held = rows[max(start, last) :]
-            if len(held) > 100_000:
-                edge = held[0, 0]
-                yield _edge(held)
-                held = None
-        if held is not None and len(held):
-            yield _edge(held)
-
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = found.repartitionByRange(n, "lead", "context", "who", "at").sortWithinPartitions("lead", "context", "who", "at")
-    return rows.mapInArrow(worker(run), _MARKED)
+        found = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+        if not sum(x.shape[1] for x in found):
+            return
+        columns = np.concatenate(found, axis=1)
+        del found
+        columns = columns[:, multikey_order(list(columns))]
+        lead = columns[-4]
+        new = np.flatnonzero((columns[: HEAD // 8 + 1, 1:] != columns[: HEAD // 8 + 1, :-1]).any(axis=0)) + 1
+        rows = columns[-4:].T
+        # the first and the last group may go on in the next bucket
+        first, last = (int(new[0]), int(new[-1])) if len(new) else (len(lead), len(lead))
+        yield _edge(rows[:first])
+        for low in range(first, last, 200_000):  # whole groups, some at a time
+            low, high = (new[min(np.searchsorted(new, x), len(new) - 1)] for x in (low, min(low + 200_000, last)))
+            if low < high:
+                yield _marked(rows[low:high], _marks(rows[low:high, 0], rows[low:high, 1]))
+        if last < len(lead):
+            yield _edge(rows[last:])
+
+    return suffixes.repartitionByRange(n, *_SUFFIX).mapInArrow(worker(run), _MARKED)
 
 
 def _edge(rows: np.ndarray) -> pa.RecordBatch:
@@ -221,41 +253,35 @@ def _marked(rows: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
 def _across(rows: DataFrame) -> DataFrame:
     """Marks of the groups at the buckets' ends, a row for each context and bucket: the same rule, by aggregation and joins."""
     runs = stored(rows.groupBy("lead", "context").agg(F.sum(F.when(F.col("mark") == MANY, 2).otherwise(1)).alias("n"), F.min(F.struct("who", "at")).alias("one")), "runs")
-    groups = runs.groupBy("lead").agg(F.count(F.lit(1)).alias("several"))
-    runs = runs.join(groups, "lead").where("n > 1 OR several > 1")
-    x = rows.drop("mark").join(runs, ["lead", "context"])
+    groups = stored(runs.groupBy("lead").agg(F.count(F.lit(1)).alias("several")), "groups")
+    runs = stored(runs.join(groups.hint("merge"), "lead").where("n > 1 OR several > 1"), "runs")
+    x = rows.drop("mark").join(runs.hint("merge"), ["lead", "context"])
     one = (F.col("several") > 1) & (F.col("one.who") == F.col("who")) & (F.col("one.at") == F.col("at"))
     mark = F.when(one, F.when(F.col("n") > 1, BOTH).otherwise(COMPARE)).when(F.col("n") > 1, INSIDE)
     return x.select("lead", "context", "who", "at", mark.cast("int").alias("mark")).where("mark IS NOT NULL")
 
 
-def _identified(docs: DataFrame, key: bool) -> DataFrame:
-    """(key,) raw, who, length of every document."""
-    names = ["key", "raw", "who", "length"] if key else ["raw", "who", "length"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in sliced(b, int(key))):
-            raw = [(t or "").encode() for t in batch.column(int(key)).to_pylist()]
-            rows = [pa.array(raw, pa.binary()), pa.array([_identity(r) for r in raw], pa.int64()), pa.array([len(r) for r in raw], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: int(key)], *rows], names=names)
-
-    return (docs if key else docs.select("text")).mapInArrow(worker(run), "key bigint, " * key + "raw binary, who bigint, length bigint")
-
-
 def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """lead, who, at, before, context bytes of the anchors to compare."""
-    wanted = marked.where(F.col("mark") >= COMPARE).select("who", F.shiftright("at", 32).alias("length"), F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("at"), "lead").alias("a"))
-    wanted = wanted.groupBy("who", "length").agg(F.collect_list("a").alias("a"))  # as many as the text has anchors at most
-    rows = _identified(docs, False).join(wanted, ["who", "length"]).select("raw", "who", "length", F.col("a.at").alias("ats"), F.col("a.lead").alias("leads"))
+    """lead, who, at, before, bytes, large: the contexts to compare, and whether they are of a group of more than GROUP."""
+    wanted = marked.where(F.col("mark") >= COMPARE).select("lead", "who", "at").distinct()
+    large = stored(wanted.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("lead", F.lit(True).alias("large")), "large")
+    wanted = wanted.join(large.hint("merge"), "lead", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    wanted = wanted.select("who", F.shiftright("at", 32).alias("length"), F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("at"), "lead", "large").alias("a"))
+    wanted = wanted.groupBy("who", "length").agg(F.collect_set("a").alias("a"))  # as many as the text has anchors at most
+    # of equal texts one document gives the contexts
+    one = docs.where(F.col("length") >= LENGTH).groupBy("who", "length").agg(F.min("key").alias("_key"))
+    wanted = wanted.join(one, ["who", "length"]).withColumnsRenamed({"who": "_who", "length": "_length"})
+    rows = docs.join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("who") == F.col("_who")) & (F.col("length") == F.col("_length")))
+    rows = rows.select("text", "who", "length", F.col("a.at").alias("ats"), F.col("a.lead").alias("leads"), F.col("a.large").alias("larges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in sliced(b, 0)):
-            for raw, who, length, ats, leads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                low = [max(0, a - W + 1) for a in ats]
+            for text, who, length, ats, leads, larges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw, low = text.encode(), [max(0, a - W + 1) for a in ats]
                 rows = [pa.array(leads, pa.int64()), pa.array([who] * len(ats), pa.int64()), pa.array([length << 32 | a for a in ats], pa.int64()), pa.array([a - s for a, s in zip(ats, low, strict=True)], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array([raw[s : a + LENGTH] for a, s in zip(ats, low, strict=True)], pa.binary())], ["lead", "who", "at", "before", "bytes"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([raw[s : a + LENGTH] for a, s in zip(ats, low, strict=True)], pa.binary()), pa.array(larges, pa.bool_())], ["lead", "who", "at", "before", "bytes", "large"])
 
-    return rows.mapInArrow(worker(run), "lead bigint, who bigint, at bigint, before int, bytes binary")
+    return rows.mapInArrow(worker(run), "lead bigint, who bigint, at bigint, before int, bytes binary, large boolean")
 
 
 def _windows(group: list[tuple], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,70 +315,114 @@ def covered(group: list[tuple]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-_INTERVAL = "who bigint, length bigint, start bigint, end bigint, window bigint"
+_INTERVAL = "who bigint, length bigint, start bigint, end bigint"
+
+
+def _intervals(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["who", "length", "start", "end"])
 
 
 def _compared(contexts: DataFrame) -> DataFrame:
-    """Covered intervals of the edge anchors; with `window`, a window's fingerprint of a group too large for one task."""
+    """Covered intervals of groups that meet in a task."""
     rows = contexts.repartition("lead").sortWithinPartitions("lead")
 
-    def out(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(5)], ["who", "length", "start", "end", "window"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # `done` holds whole groups, `group` the one that is being read; a group of GROUP contexts is spread into rows
-        at, done, group, spread = None, [], [], False
-
-        def rows_of(part: list[tuple]) -> list[tuple]:
-            which, o, prints = _windows(part, 0, W)
-            place = [(part[i][0], part[i][1] >> 32, (part[i][1] & 0xFFFFFFFF) - k) for i, k in zip(which.tolist(), o.tolist(), strict=True)]
-            return [(who, n, start, start + LENGTH, p) for (who, n, start), p in zip(place, prints.view(np.int64).tolist(), strict=True)]
-
+        # `done` holds whole groups, `group` the one that is being read
+        at, done, group = None, [], []
         for batch in batches:
             for lead, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if lead != at:
-                    if spread:
-                        if group:
-                            yield out(rows_of(group))
-                    elif len(group) > 1:
-                        done += group
+                    done += group if len(group) > 1 else []
                     if len(done) >= TOGETHER:
-                        yield out([(*x, None) for x in covered(done)])
+                        yield _intervals(covered(done))
                         done = []
-                    at, group, spread = lead, [], False
+                    at, group = lead, []
                 group.append(tuple(rest))
-                if len(group) >= (TOGETHER if spread else GROUP):
-                    spread = True
-                    for i in range(0, len(group), TOGETHER):
-                        yield out(rows_of(group[i : i + TOGETHER]))
-                    group = []
-        if spread and group:
-            yield out(rows_of(group))
-        elif len(group) > 1:
-            done += group
+        done += group if len(group) > 1 else []
         if done:
-            yield out([(*x, None) for x in covered(done)])
+            yield _intervals(covered(done))
 
     return rows.mapInArrow(worker(run), _INTERVAL)
 
 
+#: Of a range of offsets: what its windows share, or what they span.
+CORE, SPAN = 0, 1
+
+
+def _ranges(contexts: DataFrame) -> DataFrame:
+    """who, at, range, part, print: fingerprints of each range's parts, as far as the context holds a window of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(k, TOGETHER)
+                who, at, before = (batch.column(i).to_numpy() for i in range(3))
+                raw = batch.column(3).to_pylist()
+                size = np.array([len(r) for r in raw])
+                first, hashes = np.cumsum(size) - size + before, _Hashes(np.frombuffer(b"".join(raw), np.uint8))
+                for low in range(0, W, RANGE):
+                    high = min(low + RANGE, W) - 1  # offsets low to high
+                    some = np.maximum(low, LENGTH - size + before) <= np.minimum(high, before)
+                    full = (before >= high) & (size - before >= LENGTH - low)
+                    for part, rows, left, right in ((CORE, some, low, LENGTH - high), (SPAN, full, high, LENGTH - low)):
+                        i = np.flatnonzero(rows)
+                        if len(i):
+                            prints = mixed(hashes.of(first[i] - left, first[i] + right) + np.uint64(2 * low + part), 5)
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (who[i], at[i], np.full(len(i), low, np.int32), np.full(len(i), part, np.int32), prints.view(np.int64))], ["who", "at", "range", "part", "print"])
+
+    return contexts.select("who", "at", "before", "bytes").mapInArrow(worker(run), "who bigint, at bigint, range int, part int, print bigint")
+
+
+def _spread(contexts: DataFrame) -> DataFrame:
+    """Covered intervals of groups too large to meet."""
+    parts = stored(_ranges(contexts), "ranges")
+    often = stored(parts.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("who", "at")).alias("one")).where("n > 1").drop("n"), "often")
+    shared = parts.join(often.hint("merge"), "print")
+    # of those that share a span, one stands for all where windows are counted
+    stands = (F.col("part") == SPAN) & (F.col("one.who") == F.col("who")) & (F.col("one.at") == F.col("at"))
+    shared = stored(shared.groupBy("who", "at", "range").agg(F.max("part").alias("part"), F.max(stands).alias("stands")), "shared")
+    at, length = F.col("at").bitwiseAND(0xFFFFFFFF), F.shiftright("at", 32)
+    high = F.least(F.col("range") + RANGE, F.lit(W)) - 1
+    whole = shared.where(F.col("part") == SPAN).select("who", length.alias("length"), (at - high).alias("start"), (at - F.col("range") + LENGTH).alias("end"))
+    between = shared.where((F.col("part") == CORE) | F.col("stands")).groupBy("who", "at").agg(F.collect_list("range").alias("ranges"))  # W / RANGE at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(k, TOGETHER)
+                group = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                for low in range(0, W, RANGE):
+                    part = [g for g in group if low in g[4]]
+                    if part:
+                        which, o, prints = _windows(part, low, min(low + RANGE, W))
+                        who, place = (np.array([g[i] for g in part], np.int64)[which] for i in (0, 1))
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (who, place, o.astype(np.int32), prints.view(np.int64))], ["who", "at", "o", "print"])
+
+    rows = contexts.select("who", "at", "before", "bytes").join(between.hint("merge"), ["who", "at"]).select("who", "at", "before", "bytes", "ranges")
+    windows = stored(rows.mapInArrow(worker(run), "who bigint, at bigint, o int, print bigint"), "windows")
+    twice = stored(windows.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "twice")
+    single = windows.join(twice.hint("merge"), "print").select("who", length.alias("length"), (at - F.col("o")).alias("start"), (at - F.col("o") + LENGTH).alias("end"))
+    return whole.unionByName(single)
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, raw (the text's bytes) and spans (maximal covered runs of bytes) of every document."""
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    found = stored(_anchors(docs), "anchors")
-    marked = stored(_bucketed(found), "marked")
-    freed(found)
+    docs = _identified(docs, key, text)
+    size = docs.agg(F.sum("length")).first()[0] or 0
+    # one of W positions or so is the least, twice that as neighbouring windows choose apart
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * size // (W * BUCKET)))
+    marked = stored(_bucketed(_anchors(docs), n), "marked")
     ends = F.col("mark").isin(ALONE, MANY)
     marked = marked.where(~ends).unionByName(stored(_across(marked.where(ends)), "marked"))
-    compared = stored(_compared(_contexts(docs, marked)), "compared")
-    freed(docs)
-    large = compared.where("window IS NOT NULL").distinct()
-    often = large.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    contexts = stored(_contexts(docs, marked), "contexts")
+    small = _compared(contexts.where(~F.col("large")).drop("large"))
+    large = contexts.where("large")
     at = F.col("at").bitwiseAND(0xFFFFFFFF)
     inside = marked.where(F.col("mark").isin(INSIDE, BOTH)).select("who", F.shiftright("at", 32).alias("length"), F.greatest(at - (W - 1), F.lit(0)).alias("start"), F.least(at + LENGTH, F.shiftright("at", 32)).alias("end")).where(f"end - start >= {LENGTH}")
-    spans = inside.unionByName(compared.where("window IS NULL").drop("window")).unionByName(large.join(often, "window").select("who", "length", "start", "end"))
-    spans = spans.groupBy("who", "length").agg(F.collect_set(F.struct("start", "end")).alias("s"))  # as many as the text has anchors, or windows, at most
-    rows = _identified(docs, True).join(spans, ["who", "length"], "left").select("key", "raw", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    spans = inside.unionByName(small) if large.isEmpty() else inside.unionByName(small).unionByName(_spread(large))
+    # as many as the text has anchors, or windows, at most; a table, so that a text with a third of the rows can be split in the join
+    spans = stored(spans.groupBy("who", "length").agg(F.collect_set(F.struct("start", "end")).alias("s")), "spans")
+    rows = docs.join(spans.hint("merge"), ["who", "length"], "left").select("key", F.col("text").cast("binary").alias("raw"), F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in sliced(b, 1)):

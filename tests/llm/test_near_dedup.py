@@ -9,13 +9,13 @@ from ledgerline.llm import near_dedup as N
 from .data import clashing, collected, empty, frame, prose, rows
 
 
-def compare(spark, data, tmp_path):
+def compare(spark, data, tmp_path, rule=N.CONTRACT):
     df = frame(spark, data)
     df.coalesce(1).write.parquet(str(tmp_path / "d"))
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
-    got = N.near_duplicates(df)
-    want = c.sql(N.ORACLE)
+    got = N.near_duplicates(df, rule=rule)
+    want = c.sql(N.ORACLE.replace("len(w), 3)", f"len(w), {rule.words})").replace(">= 85 *", f">= {rule.num} *"))
     at = [want.columns.index(x) for x in got.columns]
     assert collected(got) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
 
@@ -32,8 +32,8 @@ def test_trouble(spark, tmp_path):
     compare(spark, rows(), tmp_path)
 
 
-@pytest.mark.parametrize("chunk", [1000, 6])
-def test_groups_near_the_threshold(spark, tmp_path, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "rule"), [(1000, N.FIVE), (6, N.CONTRACT)])
+def test_groups_near_the_threshold(spark, tmp_path, monkeypatch, chunk, rule):
     """Copies at all distances, so stars hold many components; small chunks make them be cut."""
     monkeypatch.setattr(N, "CHUNK", chunk)
     monkeypatch.setattr(N, "CROSS", chunk + 3)
@@ -41,7 +41,7 @@ def test_groups_near_the_threshold(spark, tmp_path, monkeypatch, chunk):
     for g in range(3):
         base = prose(g + 50, 150).split()
         data += [(100 * g + i, edited(base, 1000 * g + i, i % 9), "en", "s", 0) for i in range(40)]
-    compare(spark, data, tmp_path)
+    compare(spark, data, tmp_path, rule)
 
 
 def test_hot_group_of_equal_copies(spark, tmp_path):
@@ -96,7 +96,7 @@ def test_texts_move_only_where_registers_leave_a_partner(spark, monkeypatch):
     """Of a family of similarity 0.6 no pair links; its members share buckets, but hardly a text is dealt."""
     dealt = []
     whole = N._linked_in_cells
-    monkeypatch.setattr(N, "_linked_in_cells", lambda rows, key: whole(dealt.append(rows.count()) or rows, key))
+    monkeypatch.setattr(N, "_linked_in_cells", lambda rows, key, rule: whole(dealt.append(rows.count()) or rows, key, rule))
     monkeypatch.setattr(N, "CHUNK", 50)
     monkeypatch.setattr(N, "CROSS", 100)
     frame_words = prose(5, 240).split()
