@@ -3,16 +3,18 @@
 The patterns are the benchmark's windows of consecutive words; all windows of one length form a class with its
 own tables. Symbols are the benchmark's word numbers (0 for any other word) and a block is two symbols (one, for
 windows of one word). SHIFT, indexed by a block's hash, says how far the search may advance from a position that
-ends in that block without passing over the end of any window; where it is 0, the window that ends there is
-looked up among the windows by its hash, in the bucket of its last block, and compared word by word. The batch's
-words are cut into many lanes that advance together, each by its own shifts, so the loop runs in numpy.
+ends in that block without passing over the end of any window. Where it is 0, the windows that end there are those of the
+suffix block's HASH bucket whose PREFIX, the hash of their first block, is that of the text; each of them is compared word by
+word. The batch's words are cut into many lanes that advance together, each by its own shifts, so the loop runs in numpy.
 
-The tables are as large as one block of items, ITEMS_MB of text at most; a larger benchmark is searched a block
-after another, with the hits so far kept in a table of the shared folder, so nothing is dropped at any size.
+The tables are as large as one block of items, ITEMS_MB of text at most, and are made once. A larger benchmark has several
+blocks, and documents are read once all the same: a task takes BATCH_MB of text at a time and searches it block by block,
+holding the tables of one. Nothing is dropped at any size.
 
 Null and empty texts have no words, no hits and no items. Items without words, and items whose id is null, are
-no patterns; items that share an id are one item. Repeated documents are searched alike. An empty benchmark hits
-nothing, and an empty document table gives an empty result.
+no patterns; items that share an id are one item, and a window of several items counts for each. Repeated documents are
+searched alike; very long ones are searched alone. An empty benchmark hits nothing, and an empty document table gives an
+empty result. Other columns stay; those that have the name of a result column are renamed by an underscore at the end.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, sliced, stored, worker
+from .common import SLICE_BYTES, apart, mixed, sliced, worker
 
 #: Bytes that are no part of a word are spaces here, and A-Z are lower case.
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WINDOW = 8
-ITEMS_MB = 16
-LANES = 2048
+ITEMS_MB, BATCH_MB = 8, 32
+#: Lanes of a search; candidates compared at a time.
+LANES, CANDIDATES = 2048, 500_000
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -48,25 +51,24 @@ class Searcher:
     def __init__(self, windows: np.ndarray):
         self.m = m = windows.shape[1]
         self.b = b = min(2, m)
-        keys = self._hash(windows)
-        order = np.argsort(keys, kind="stable")
-        self.windows, self.keys, self.order = windows[order], keys[order], order
         self.bits = min(22, max(12, math.ceil(math.log2(len(windows) * m + 1)) + 3))
+        keys = self._bucketed(windows)
+        self.order = np.argsort(keys, kind="stable")
+        self.windows, self.keys = windows[self.order], keys[self.order]
         self.shift = np.full(1 << self.bits, m - b + 1, np.int32)
         for end in range(b - 1, m):  # the nearest end wins
             np.minimum.at(self.shift, self._block(windows[:, end - 1] if b == 2 else None, windows[:, end]), m - 1 - end)
 
-    @staticmethod
-    def _hash(rows: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(rows), np.uint64)
-        for k in range(rows.shape[1]):
-            h = mixed(h + rows[:, k].astype(np.uint64), k)
-        return h
-
     def _block(self, a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
         x = b.astype(np.uint64) if a is None else (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
         return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _bucketed(self, rows: np.ndarray) -> np.ndarray:
+        """Of each row its suffix block's bucket, then its PREFIX: windows of one bucket lie together, by prefix."""
+        suffix = self._block(rows[:, -2] if self.b == 2 else None, rows[:, -1])
+        first = rows[:, 0].astype(np.uint64) << np.uint64(32) | rows[:, min(1, self.m - 1)].astype(np.uint64)
+        return (suffix.astype(np.uint64) << np.uint64(40)) | (mixed(first) >> np.uint64(24))
+
     def ends(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of last symbols of windows in `text`, in order, and which window each is (number in the constructor's order)."""
         m, n = self.m, len(text)
@@ -88,10 +90,25 @@ class Searcher:
             return none, none
         stops = np.sort(np.concatenate(stops))
         stops = stops[(text[stops] > 0) & (text[stops - m + 1] > 0)]
-        rows = text[stops[:, None] + np.arange(1 - m, 1)]
-        found = np.minimum(np.searchsorted(self.keys, self._hash(rows)), len(self.keys) - 1)
-        same = (self.windows[found] == rows).all(axis=1)
-        return stops[same], self.order[found[same]]
+        hits, which = [none], [none]
+        for k in range(0, len(stops), CANDIDATES // 8):
+            part = stops[k : k + CANDIDATES // 8]
+            rows = text[part[:, None] + np.arange(1 - m, 1)]
+            key = self._bucketed(rows)
+            first = np.searchsorted(self.keys, key, "left")
+            n = np.searchsorted(self.keys, key, "right") - first
+            # every candidate of every stop, so many at a time
+            upto = np.concatenate([[0], np.cumsum(n)])
+            low = 0
+            while low < len(part):
+                high = max(low + 1, int(np.searchsorted(upto, upto[low] + CANDIDATES, "right")) - 1)
+                at = np.repeat(np.arange(low, high), n[low:high])
+                candidate = first[at] + np.arange(len(at)) - (upto[at] - upto[low])
+                same = (self.windows[candidate] == rows[at]).all(axis=1)
+                hits.append(part[at[same]])
+                which.append(self.order[candidate[same]])
+                low = high
+        return np.concatenate(hits), np.concatenate(which)
 
 
 class Benchmark:
@@ -101,19 +118,25 @@ class Benchmark:
         self.names = sorted({i for i, t in items if i is not None})
         number = {x: k for k, x in enumerate(self.names)}
         self.vocabulary: dict[bytes, int] = {}
-        classes: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        told, lengths, owner = [], [], []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if item is None or not ids:
-                continue
-            m = min(window, len(ids))
-            for k in range(len(ids) - m + 1):
-                classes.setdefault(m, {}).setdefault(tuple(ids[k : k + m]), set()).add(number[item])
+            if item is not None and ids:
+                told.append(np.array(ids, np.int32))
+                lengths.append(len(ids))
+                owner.append(number[item])
+        text, lengths, owner = np.concatenate([*told, np.zeros(0, np.int32)]), np.array(lengths, np.int64), np.array(owner, np.int64)
+        starts = np.cumsum(lengths) - lengths
         self.classes = []
-        for windows in classes.values():
-            owners = [np.fromiter(sorted(x), np.int64) for x in windows.values()]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in owners])])
-            self.classes.append((Searcher(np.array(list(windows), np.int64)), starts, np.concatenate(owners)))
+        for m in np.unique(np.minimum(lengths, window)):
+            some = np.minimum(lengths, window) == m
+            n = lengths[some] - m + 1
+            at = np.repeat(starts[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            windows, which = np.unique(text[at[:, None] + np.arange(m)], axis=0, return_inverse=True)
+            # the owners of each window, one after another
+            pairs = np.unique(which.reshape(-1) * len(self.names) + np.repeat(owner[some], n))
+            bounds = np.searchsorted(pairs, np.arange(len(windows) + 1) * len(self.names))
+            self.classes.append((Searcher(windows), bounds, pairs % len(self.names)))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text: its words, the maximal runs of hit words (start, end), the items with occurring windows."""
@@ -121,9 +144,9 @@ class Benchmark:
         for text in texts:
             words = words_of(text)
             counts.append(len(words))
-            ids.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-            ids.append(np.zeros(1, np.int64))  # no window crosses it, as 0 is in none
-        text = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            ids.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
+            ids.append(np.zeros(1, np.int32))  # no window crosses it, as 0 is in none
+        text = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         first = np.cumsum([0, *(c + 1 for c in counts)])
         edge, pairs = np.zeros(len(text) + 1, np.int64), []
         for searcher, starts, owners in self.classes:
@@ -169,32 +192,27 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, limit_mb: float) ->
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, limit_mb: float = ITEMS_MB, prefix: str = "") -> DataFrame:
     """`docs` with n_words, hits (maximal runs of hit words) and items (ids of items with occurring windows, sorted as strings)."""
-    at = docs.columns.index(text)
     names = [prefix + c for c in ("n_words", "hits", "items")]
+    docs = apart(docs, names)
+    at = docs.columns.index(text)
     out = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], FOUND), T.StructField(names[2], T.ArrayType(T.StringType()))])
     kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
-    blocks = item_blocks(benchmark, item, item_text, limit_mb)
-    for k, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])  # ITEMS_MB at most
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, later=k > 0) -> Iterator[pa.RecordBatch]:
-            patterns = None
-            for whole in batches:
-                patterns = patterns or Benchmark(shared.value, window)
-                for batch in sliced(whole, at):
-                    found = patterns.search(batch.column(at).to_pylist())
-                    columns = batch.columns
-                    if later:
-                        before = zip(*(c.to_pylist() for c in columns[-2:]), strict=True)
-                        found = [(n, _joined(h, [(x["start"], x["end"]) for x in bh]), sorted({*i, *bi})) for (n, h, i), (bh, bi) in zip(found, before, strict=True)]
-                        columns = columns[:-3]
-                    hits = pa.array([[{"start": a, "end": b} for a, b in h] for _, h, _ in found], kinds[0])
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _, _ in found], pa.int64()), hits, pa.array([i for _, _, i in found], kinds[1])], names=out.names)
-
-        docs = docs.mapInArrow(worker(run), out)
-        if k + 1 < len(blocks):
-            docs = stored(docs, "hits")
-    return docs
+    share = docs.sparkSession.sparkContext.broadcast
+    # ITEMS_MB of text at most come to the driver at a time
+    tables = [share(Benchmark([tuple(r) for r in block.collect()], window)) for block in item_blocks(benchmark, item, item_text, limit_mb)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in sliced(b, at, BATCH_MB * 1_000_000 if len(tables) > 1 else SLICE_BYTES)):
+            texts, found = batch.column(at).to_pylist(), []
+            for shared in tables:
+                more = shared.value.search(texts)
+                if len(tables) > 1:
+                    shared.__dict__.pop("_value", None)  # a worker holds one block's tables
+                found = [(n, _joined(h, bh), sorted({*i, *bi})) for (n, h, i), (_, bh, bi) in zip(more, found, strict=True)] if found else more
+            hits = pa.array([[{"start": a, "end": b} for a, b in h] for _, h, _ in found], kinds[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _, _ in found], pa.int64()), hits, pa.array([i for _, _, i in found], kinds[1])], names=out.names)
+
+    return docs.mapInArrow(worker(run), out)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -38,6 +40,17 @@ def test_lanes_do_not_matter(monkeypatch):
     for lanes in (1, 7, 100_000):
         monkeypatch.setattr(D, "LANES", lanes)
         assert D.Benchmark(items).search(texts) == found
+    monkeypatch.setattr(D, "CANDIDATES", 8)
+    assert D.Benchmark(items).search(texts) == found
+
+
+def test_all_candidates_of_a_bucket_are_compared():
+    """Windows with the same first and last words meet in one bucket under one prefix."""
+    r = random.Random(2)
+    middle = [" ".join(r.choice("pqrs") for _ in range(4)) for _ in range(200)]
+    items = [(str(k), f"a b {x} y z") for k, x in enumerate(dict.fromkeys(middle))]
+    found = D.Benchmark(items).search([f"{t} and no more" for _, t in items])
+    assert [x[2] for x in found] == [[i] for i, _ in items] and all(x[1] == [(0, 8)] for x in found)
 
 
 def test_passages_are_cut(spark):
@@ -53,4 +66,7 @@ def test_passages_are_cut(spark):
 
 def test_empty(spark):
     assert D.digest(D.contamination(empty(spark), bench(spark))).collect() == []
+    out = D.contamination(clashing(spark), bench(spark))
+    assert {"n_words", "n_words_", "hits", "hits_", "items", "items_"} <= set(out.columns)
+    assert collected(D.digest(out)) == collected(D.digest(D.contamination(frame(spark), bench(spark))))
     assert {r.n_items for r in D.digest(D.contamination(frame(spark), bench(spark).limit(0))).collect()} == {0}
