@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -101,6 +102,19 @@ def lower_ascii(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+#: Bits of the filter that sifted() sends to all executors: 4 MB at most, whatever the input.
+SIFT_BITS = 1 << 25
+
+
+def sifted(rows: DataFrame, need: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of `rows` that may have their columns `on` in `need`, and of the others as many as the filter lets through: a bit
+    for each hash of `need`. A join's large side is sifted before it is shuffled; the join itself decides."""
+    place = F.pmod(F.xxhash64(*on), F.lit(SIFT_BITS)) + 1
+    bits = need.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    found = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)}).join(F.broadcast(bits), "_bucket")
+    return found.where(F.expr("shiftright(cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1 = 1")).select(rows.columns)
+
+
 #: Bytes of text that a Python worker takes at a time, or one text if that is longer.
 SLICE_BYTES = 4_000_000
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keeps, mixed, sliced, stored, worker
+from .common import keeps, mixed, sifted, sliced, stored, worker
 
 #: Registers, rows in a band, bands. Two sets of similarity 0.85 share no band 7 times in 10**9.
 REGISTERS, ROWS = 160, 5
@@ -50,6 +50,8 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Members of a star that meet in one group, or nearly so, first and in a cell of the later step; shingles of all of them; nats of
 #: likelihood that rule a pair out.
 CHUNK, CROSS, SHINGLES, REJECT = 250, 1000, 4_000_000, 18.0
+#: Links that a task joins into components.
+TASK = 500_000
 
 
 class Rule(NamedTuple):
@@ -230,15 +232,17 @@ def components(links: DataFrame) -> DataFrame:
     """u, v: each linked node and the least node of its component, from links (u, v); by alternating large and small stars. Both
     sides of every join are tables, so that a hub's links can be split between tasks."""
     edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    # no step has more rows than twice the links there are at first; a task for each TASK of them is enough
+    tasks = max(1, -(-2 * edges.count() // TASK))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks), "least")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = stored(large, "large")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = stored(large.coalesce(tasks), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
         small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u != v").distinct(), "edges")
+        edges = stored(small.where("u != v").distinct().coalesce(tasks), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges
@@ -323,6 +327,11 @@ def _with_sets(batch: pa.RecordBatch, rule: Rule) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], names=batch.schema.names)
 
 
+def _place() -> list[Column]:
+    """A key in two columns that are never null, so that they can be joined and grouped by."""
+    return [F.coalesce("key", F.lit(0)).alias("k"), F.col("key").isNull().alias("none")]
+
+
 class _Corpus:
     """The classes of equal sets, and where their texts are."""
 
@@ -339,10 +348,12 @@ class _Corpus:
 
     def with_text(self, members: DataFrame) -> DataFrame:
         """`members` with the text that stands for their class: each text is fetched once, then goes to each of its cells."""
+        place = ["k", "none", "print"]
+        need = members.select("cid").distinct().join(self.classes.select("cid", *_place(), "print").hint("merge"), "cid")
+        need = stored(need, "need")
         # by sorting at every size: what needs texts grows with the documents, and small inputs then foretell large ones
-        need = members.select("cid").distinct().join(self.classes.select("cid", F.col("key").alias("_key"), F.col("print").alias("_print")), "cid")
-        found = self.texts.where("text is not null").join(need.hint("merge"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print")))
-        once = found.groupBy("_key", "_print", "cid").agg(F.first("text").alias("text"))  # repeated rows have one text
+        texts = sifted(self.texts.where("text is not null").select(*_place(), "print", "text"), need, place)
+        once = texts.join(need.hint("merge"), place).groupBy(*place, "cid").agg(F.first("text").alias("text"))  # repeated rows have one text
         return members.join(once.select("cid", "text").hint("merge"), "cid")
 
     def links(self, members: DataFrame, key: list[str]) -> DataFrame:
@@ -386,12 +397,15 @@ def _across(corpus: _Corpus, joined: DataFrame, cut: DataFrame) -> DataFrame:
     home = of.withColumnsRenamed({"cid": "c", "label": "home"})
     at = stored(at.join(home.hint("merge"), "c", "left").withColumn("home", F.coalesce("home", "c")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")), "across")
     outside = at.where("label != home")
+    if outside.isEmpty():
+        return joined
     counts = outside.join(corpus.classes.select("cid", "n").hint("merge"), "cid").groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     blocks = stored(counts.select("c", _parts("m", "s", CROSS).alias("blocks")), "blocks")
     # side 0: the members outside the centre's component, in blocks, sent to every chunk; side 1: all members of a chunk, sent to every block
     zero = outside.join(blocks.hint("merge"), "c").select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "cid", "label")
     one = at.join(blocks.hint("merge"), "c").select("c", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "cid", "label")
-    return components(joined.unionByName(corpus.links(zero.unionByName(one), ["c", "chunk", "block"])))
+    more = stored(corpus.links(zero.unionByName(one), ["c", "chunk", "block"]), "more")
+    return joined if more.isEmpty() else components(joined.unionByName(more))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = FIVE) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, sliced, stored, worker
+from .common import mixed, sifted, sliced, stored, worker
 
 LENGTH, K, HEAD = 200, 64, 16
 W = LENGTH - K + 1
@@ -269,9 +269,10 @@ def _contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
     wanted = wanted.select("who", F.shiftright("at", 32).alias("length"), F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("at"), "lead", "large").alias("a"))
     wanted = wanted.groupBy("who", "length").agg(F.collect_set("a").alias("a"))  # as many as the text has anchors at most
     # of equal texts one document gives the contexts
-    one = docs.where(F.col("length") >= LENGTH).groupBy("who", "length").agg(F.min("key").alias("_key"))
-    wanted = wanted.join(one, ["who", "length"]).withColumnsRenamed({"who": "_who", "length": "_length"})
-    rows = docs.join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("who") == F.col("_who")) & (F.col("length") == F.col("_length")))
+    place = [F.coalesce("key", F.lit(0)).alias("k"), F.col("key").isNull().alias("none"), "who", "length"]
+    one = docs.where(F.col("length") >= LENGTH).groupBy("who", "length").agg(F.min("key").alias("key"))
+    wanted = stored(wanted.join(one, ["who", "length"]).select(*place, "a"), "wanted")
+    rows = sifted(docs.select(*place, "text"), wanted, ["k", "none", "who", "length"]).join(wanted.hint("merge"), ["k", "none", "who", "length"])
     rows = rows.select("text", "who", "length", F.col("a.at").alias("ats"), F.col("a.lead").alias("leads"), F.col("a.large").alias("larges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
