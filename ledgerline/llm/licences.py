@@ -3,14 +3,18 @@
 A file's blocks are its runs of paragraphs with licence words, wherever in the text they stand; a paragraph ends at a line
 without words and where comment lines begin or end. A block is matched whole, with its lines that hold no licence word;
 if nothing is found, its paragraphs are, and in a paragraph where nothing is found the runs of sentences and lines with
-licence words. In a licence file (by name, or if what is matched holds half its words) the whole text is matched too. These passages and templates are sparse
-TF-IDF vectors over the templates' words; document frequencies are counted over all files. A file's own licence is the
-template of the best cosine, if that is LEAST or more; of equal cosines the first name in alphabetical order is taken.
+licence words. In a licence file (by name, or if what is matched holds half its words) the whole text is matched too. These
+passages and templates are sparse TF-IDF vectors: postings of the templates' words hold their weights, and a passage's words
+add up its products with each template. Document frequencies of the templates' words are counted over all files; a word that
+is in no template has no coordinate in common with any, and counts with the least weight, 1, in the passage's length, so that
+names of holders and projects do not drown a notice. A file's own licence is the template of the best cosine, if that is LEAST
+or more; of equal cosines the first name in alphabetical order is taken.
 A directory has the licence of its best licence file. A file without one of its own inherits from the nearest directory
 above it that has one, by a join of distinct directories with all their ancestors.
 
-Null text is empty text, a null path is in no directory and inherits nothing. Repeated rows get equal results. An
-empty table gives an empty result.
+Null text is empty text, a null path is in no directory and inherits nothing: files without paths have their own licences
+only. Repeated rows get equal results. Texts of any length are searched whole, very long ones alone. An empty table gives an
+empty result. Other columns stay; those that have the name of a result column are renamed by an underscore at the end.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, stored, worker
+from .common import apart, sliced, stored, worker
 
 _CC = ("Licensed under CC {0}.", "This work is licensed under a Creative Commons {1} International License.", "Creative Commons {1} CC {0}")
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -119,23 +123,26 @@ class Matcher:
     def __init__(self, frequency: dict[str, int], n: int):
         self.names = [k for k in sorted(TEMPLATES) for _ in TEMPLATES[k]]
         bags = [Counter(terms(t)) for k in sorted(TEMPLATES) for t in TEMPLATES[k]]
-        self.index = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
-        self.idf = np.array([math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for w in self.index])
-        self.matrix = np.stack([self._vector(b) for b in bags])
-
-    def _vector(self, bag: Counter) -> np.ndarray:
-        x = np.zeros(len(self.idf))
-        for w, c in bag.items():
-            if w in self.index:
-                x[self.index[w]] = 1 + math.log(c)
-        x *= self.idf
-        foreign = sum(1 for w in bag if w not in self.index)
-        # words outside the templates have no coordinate, but lengthen the vector
-        norm = math.sqrt(float(x @ x) + foreign)
-        return x / norm if norm else x
+        self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for w in set().union(*bags)}
+        #: of each word the templates that hold it, and its weights there
+        self.postings: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        vectors = [self._vector(b) for b in bags]
+        for w in self.idf:
+            at = [k for k, (x, _) in enumerate(vectors) if w in x]
+            self.postings[w] = np.array(at), np.array([vectors[k][0][w] / vectors[k][1] for k in at])
+
+    def _vector(self, bag: Counter) -> tuple[dict[str, float], float]:
+        """The weights of the words that are in templates, and the length of the whole vector."""
+        x = {w: (1 + math.log(c)) * self.idf[w] for w, c in bag.items() if w in self.idf}
+        return x, math.sqrt(sum(v * v for v in x.values()) + len(bag) - len(x))
 
     def match(self, passage: str) -> tuple[str, float] | None:
-        scores = self.matrix @ self._vector(Counter(terms(passage)))
+        x, length = self._vector(Counter(terms(passage)))
+        scores = np.zeros(len(self.names))
+        for w, v in x.items():
+            at, weights = self.postings[w]
+            scores[at] += v * weights
+        scores /= length or 1.0
         k = int(np.argmax(np.round(scores, 9)))
         return (self.names[k], float(scores[k])) if scores[k] >= LEAST else None
 
@@ -154,6 +161,8 @@ def matched(m: Matcher, text: str) -> tuple[list[tuple[str, float]], int]:
 
 
 _COUNTS = "term string, n bigint"
+#: What own_licences() adds, and what licences() does.
+OWN, FOUND = ("own_licence", "own_score", "n_passages", "licence_file"), ("licence", "inherited_from")
 
 
 def frequencies(files: DataFrame, text: str = "text") -> tuple[dict[str, int], int]:
@@ -180,8 +189,9 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text") -> Da
     """The columns of `files` but the text, with own_licence, own_score, n_passages and licence_file."""
     matcher = Matcher(*frequencies(files, text))
     shared = files.sparkSession.sparkContext.broadcast(matcher)
+    files = apart(files, OWN)
     at, place = files.columns.index(text), files.columns.index(path)
-    fields = [f for f in files.schema.fields if f.name not in (text, "own_licence", "own_score", "n_passages", "licence_file")]
+    fields = [f for f in files.schema.fields if f.name != text]
     kept = [files.columns.index(f.name) for f in fields]
     out = T.StructType([*fields, T.StructField("own_licence", T.StringType()), T.StructField("own_score", T.DoubleType()), T.StructField("n_passages", T.LongType()), T.StructField("licence_file", T.BooleanType())])
 
@@ -206,17 +216,19 @@ def own_licences(files: DataFrame, path: str = "path", text: str = "text") -> Da
 
 def licences(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """own_licences() with licence (own or inherited) and inherited_from (the directory, null where the licence is the file's own)."""
-    own = stored(own_licences(files.drop("licence", "inherited_from"), path, text), "licences")
+    names = ("ledgerline_dir", "ledgerline_from", "ledgerline_licence", "ledgerline_above", "ledgerline_depth")
+    here, origin, inherited, upper, depth = names
+    own = stored(own_licences(apart(files, (*FOUND, *names)), path, text), "licences")
     folder = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.when(c.isNotNull(), F.lit("")))
-    own = own.withColumn("_dir", folder(F.col(path)))
+    own = own.withColumn(here, folder(F.col(path)))
     # of a directory's licence files the best: one row for each directory, aggregated before any shuffle
     best = F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_licence").alias("l")))
-    known = own.where(F.col("licence_file") & F.col("_dir").isNotNull()).groupBy("_dir").agg(best.alias("b")).select(F.col("_dir").alias("_above"), F.col("b.l").alias("_licence"))
-    parts = F.split("_dir", "/")
-    above = own.where("_dir IS NOT NULL").select("_dir").distinct().select("_dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_depth", "_above"))
+    known = own.where(F.col("licence_file") & F.col(here).isNotNull()).groupBy(here).agg(best.alias("b")).select(F.col(here).alias(upper), F.col("b.l").alias(inherited))
+    parts = F.split(here, "/")
+    above = own.where(F.col(here).isNotNull()).select(here).distinct().select(here, F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias(depth, upper))
     # the root, of no parts, is above all; the deepest ancestor that has a licence file, itself first
-    nearest = above.join(known, "_above").groupBy("_dir").agg(F.max(F.struct("_depth", "_above", "_licence")).alias("n")).select("_dir", F.col("n._above").alias("_from"), F.col("n._licence").alias("_licence"))
+    nearest = above.join(known, upper).groupBy(here).agg(F.max(F.struct(depth, upper, inherited)).alias("n")).select(here, F.col(f"n.{upper}").alias(origin), F.col(f"n.{inherited}").alias(inherited))
     # a table of its own: a directory with a third of the files can then be split by the join, or the few rows be broadcast
     nearest = stored(nearest, "nearest")
-    out = own.join(F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRECTORIES else nearest, "_dir", "left")
-    return out.withColumns({"licence": F.coalesce("own_licence", "_licence"), "inherited_from": F.when(F.col("own_licence").isNull(), F.col("_from"))}).drop("_dir", "_from", "_licence")
+    out = own.join(F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRECTORIES else nearest.hint("merge"), here, "left")
+    return out.withColumns({"licence": F.coalesce("own_licence", inherited), "inherited_from": F.when(F.col("own_licence").isNull(), F.col(origin))}).drop(here, origin, inherited)

@@ -81,9 +81,8 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .licences import licences
 
-    # The table has no paths: a document stands in the folder of its source and language.
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
-    return licences(_table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+    # The table has no paths, so there is nothing to inherit from.
+    return licences(_table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("path"), "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
