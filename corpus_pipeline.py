@@ -2,10 +2,14 @@
 redaction and SentencePiece encoding. Each stage is written as Parquet in the shared folder and read again, so a lost
 executor costs one stage's tasks at most.
 
-Rejected documents go; of each group of near copies one document stays; a document in which windows of two or more
+Rejected documents go; of each group of near copies (shingles of five words, similarity of 0.8 or more) one document stays; a document in which windows of two or more
 benchmark items occur goes, and the passages of a single item are cut out of the text; secrets are replaced in the
 text, with n_chars of the new text; the last stage gives each document's ids. All stages but the last return the
-columns of documents.
+columns of documents, and those of the table that have further or clashing names as they are.
+
+Null and empty texts fail the base rules and go in the first stage. Null languages and sources are groups of their own; null
+ids are kept. Texts of any length go through whole. Of documents that tie for a group's least id, and of repeated rows, one
+stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import stored
 from ledgerline.llm.decontaminate import decontaminated
-from ledgerline.llm.near_dedup import deduplicated
+from ledgerline.llm.near_dedup import FIVE, deduplicated
 from ledgerline.llm.pieces import encoded
 from ledgerline.llm.quality import accepted
 from ledgerline.llm.queries import tokenizer_file
@@ -28,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicated(docs)
+    return deduplicated(docs, rule=FIVE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
