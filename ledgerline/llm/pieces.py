@@ -12,8 +12,11 @@ pieces under that law, not the merge order's (the README says how often they agr
 vocabulary are spelled in byte pieces, and so is U+2581, which otherwise would come back as a space: decoding gives
 every text back exactly.
 
-Null and empty texts have no ids, and decode to empty text. Repeated rows give equal ids. Words may be of any length;
-very long ones are segmented alone, in memory linear in their length.
+Null and empty texts have no ids, and decode to empty text. Repeated rows give equal ids. Of segmentations that tie, the one
+whose last piece is the shortest is taken, at every position. Texts are encoded whole, some megabytes or one text at a time, so
+a batch never has more ids than its lists can count. Words may be of any length; very long ones are segmented alone, in memory
+linear in their length. An empty table gives an empty result. Other columns stay; those that have the name of a result column
+are renamed by an underscore at the end.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import keeps, worker
+from .common import apart, keeps, sliced, worker
 
 SPACE = "▁"
 #: Zipf-Mandelbrot offset and what each piece costs besides, for models that hold ranks.
 OFFSET, EACH = 100.0, 8.0
-#: Entries in the younger of a worker's two tables of encoded words; words of a matrix; documents at a time.
-CACHE, ROWS, BATCH = 150_000, 4096, 256
+#: Entries in the younger of a worker's two tables of encoded words; words of a matrix.
+CACHE, ROWS = 150_000, 4096
 WORDS = re.compile(" +[^ ]*")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,9 +187,8 @@ def pieces(path: str) -> Pieces:
 
 def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", verify: bool = False) -> DataFrame:
     """`docs` with its texts' ids, an array of int; with `verify` also n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids) and round_trip, whether decoding gave the text."""
-    at = docs.columns.index(text)
-    fields = [f for f in docs.schema.fields if f.name not in (ids, "n_pieces", "ids_crc32", "round_trip")]
-    kept = [docs.columns.index(f.name) for f in fields]
+    docs = apart(docs, [ids, *(["n_pieces", "ids_crc32", "round_trip"] if verify else [])])
+    at, fields = docs.columns.index(text), docs.schema.fields
     more = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
     if verify:
         more += [T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
@@ -194,32 +196,29 @@ def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for whole in batches:
-            for k in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(k, BATCH)
-                texts = batch.column(at).to_pylist()
-                found = [np.frombuffer(x, p.kind) for x in p.encode(texts)]
-                offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                rows = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)))]
-                if verify:
-                    rows += [pa.array(np.diff(offsets).astype(np.int64)), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64())]
-                    rows.append(pa.array([p.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *rows], names=out.names)
+        for batch in (x for b in batches for x in sliced(b, at)):
+            texts = batch.column(at).to_pylist()
+            found = [np.frombuffer(x, p.kind) for x in p.encode(texts)]
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            rows = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)))]
+            if verify:
+                rows += [pa.array(np.diff(offsets).astype(np.int64)), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64())]
+                rows.append(pa.array([p.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *rows], names=out.names)
 
     return docs.mapInArrow(worker(run, "pieces"), out)
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """`rows` with the text of their ids; null ids are null text."""
-    at = rows.columns.index(ids)
-    fields = [f for f in rows.schema.fields if f.name != text]
-    kept = [rows.columns.index(f.name) for f in fields]
+    rows = apart(rows, [text])
+    at, fields = rows.columns.index(ids), rows.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
             texts = [None if x is None else p.decode(np.array(x, np.int64)) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(texts, pa.string())], names=[*(f.name for f in fields), text])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*(f.name for f in fields), text])
 
     return rows.mapInArrow(worker(run, "pieces"), T.StructType([*fields, T.StructField(text, T.StringType())]))
 

@@ -9,7 +9,8 @@ the upper quartile (for word length, also below the lower one); a document beyon
 rejected.
 
 Null text has no words and fails the base rules, as does empty text. Null language or source is a group of its
-own. Repeated rows are judged alike, and count in the sketches as often as they occur. An empty table gives an
+own. Repeated rows are judged alike, and count in the sketches as often as they occur. Ties are no matter: a value on a fence
+passes, and equal values lie in one bucket. Texts are measured whole, very long ones one by one. An empty table gives an
 empty result. Only the named columns are read, so other columns may have any name.
 """
 

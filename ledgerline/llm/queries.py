@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, quality
+from . import decontaminate, near_dedup, pii, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licence_scan": op4_licence_scan,
 }
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op3_near_dedup": near_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op10_personal_data": pii.ORACLE}

@@ -477,3 +477,19 @@ def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int
         kept = bytes(c for c, h in zip(r, hit, strict=True) if not h)
         out.append((len(r), sum(hit), sum(1 for i, h in enumerate(hit) if h and (i == 0 or not hit[i - 1])), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT rid, k, substr(h, 1600 * k + 1, 1998) AS p FROM (SELECT rid, h, unnest(range(0, length(h) // 1600 + 1)) AS k FROM d WHERE length(h) >= 400)),
+w AS (SELECT rid, 800 * k + j AS i, hash(substr(p, 2 * j + 1, 400)) AS g FROM (SELECT rid, k, p, unnest(range(0, least(800, length(p) // 2 - 199))) AS j FROM b WHERE length(p) >= 400)),
+o AS (SELECT rid, i FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+e AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM o),
+n AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM e),
+r AS MATERIALIZED (SELECT rid, min(i) AS s, max(i) + 200 AS e FROM n GROUP BY rid, run),
+t AS (SELECT rid, sum(e - s)::BIGINT AS removed, count(*)::BIGINT AS spans, max(e) AS last FROM r GROUP BY rid),
+k AS (SELECT rid, s, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) + 1, 2 * (s - coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0))) AS part FROM r JOIN d USING (rid)),
+c AS (SELECT rid, string_agg(part, '' ORDER BY s) AS before FROM k GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (rid) LEFT JOIN c USING (rid)
+"""

@@ -1,7 +1,11 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import sentencepiece
 
 import corpus_pipeline
+from ledgerline.llm import near_dedup, quality
 from ledgerline.llm.decontaminate import contamination
 from ledgerline.llm.near_dedup import near_duplicates
 from ledgerline.llm.pieces import pieces
@@ -47,6 +51,43 @@ def test_stages(spark, tmp_path):
         docs = out
     whole = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {r.doc_id: r.ids for r in docs.collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    assert {k: sp.decode(list(ids)) for k, ids in whole.items()} == plain_run(documents(), ITEMS)
+
+
+def plain_run(rows, items):
+    """What the pipeline leaves, by SQL, loops and plain patterns: id and text."""
+    import re
+
+    def keep(rows, sql):
+        c = duckdb.connect()
+        kinds = zip(("doc_id", "text", "lang", "source", "n_chars"), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()), zip(*rows, strict=True), strict=True)
+        c.register("documents", pa.table({n: pa.array(list(v), k) for n, k, v in kinds}))
+        found = c.sql(sql)
+        kept = {r[found.columns.index("doc_id")] for r in found.fetchall() if r[found.columns.index("kept")]}
+        return [r for r in rows if r[0] in kept]
+
+    rows = keep(rows, quality.ORACLE)
+    rows = keep(rows, near_dedup.ORACLE.replace("len(w), 3)", "len(w), 5)").replace(">= 85 *", ">= 80 *"))
+    word = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+    words = lambda t: [m[0].lower() for m in word.finditer(t)]
+    out = {}
+    for key, text, *_ in rows:
+        w, hit, of = words(text), set(), set()
+        for item, t in items:
+            x = words(t)
+            for i in range(len(x) - 7):
+                for j in range(len(w) - 7):
+                    if w[j : j + 8] == x[i : i + 8]:
+                        hit.update(range(j, j + 8))
+                        of.add(item)
+        if len(of) > 1:
+            continue
+        spans = [m.span() for m in word.finditer(text)]
+        for k in sorted(hit, reverse=True):  # from the end, so that places stay
+            text = text[: spans[k][0]].rstrip(" ") + text[spans[k][1] :]
+        out[key] = re.sub(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", "[SECRET]", text)
+    return out
 
 
 def test_empty(spark, tmp_path):

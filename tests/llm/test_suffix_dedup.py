@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm import suffix_dedup as S
@@ -10,6 +12,9 @@ from .data import clashing, collected, empty, frame, prose, rows
 def compare(spark, data):
     got = S.digest(S.repeated(clashing(spark, data))).collect()
     want = S.brute_force([r[1] for r in data])
+    c = duckdb.connect()
+    c.register("documents", pa.table({"doc_id": pa.array([r[0] for r in data], pa.int64()), "text": pa.array([r[1] for r in data], pa.string())}))
+    assert sorted(c.sql(S.ORACLE).fetchall(), key=repr) == sorted(((r[0], *w) for r, w in zip(data, want, strict=True)), key=repr)
     assert collected(spark.createDataFrame(got)) == sorted(((r[0], *w) for r, w in zip(data, want, strict=True)), key=repr)
 
 
