@@ -420,6 +420,17 @@ DUMPED = ("out", "V2;~S|t|a:I:?|b:T:?;~R|t|I1|Tx%00003B%000009y;")
 computed("command_line", command_line, values("n, stream, line", *(f"({n}, '{k}', '{x}')" for n, (k, x) in enumerate([*PRINTED, DUMPED, *ERRORS, *(("code", c) for c in "0101")]))))
 
 
+def error_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class of error as it is printed."""
+    from . import errors as E
+
+    found = [E.ParseError("m", (1, 2)), E.UnsupportedError("m", (1, 2)), *(c("m") for c in (E.SchemaError, E.TypeMismatch, E.ConstraintError)), E.CorruptStorage("m", 7), E.RegexCompile("m"), E.RegexRuntime("m"), E.ResourceLimit("m", 3), E.AllocationError("m"), E.CapacityError("m")]
+    return spark.createDataFrame([(e.kind, str(e)) for e in found], "kind string, text string")
+
+
+computed("error_formats", error_formats, values("kind, text", "('parse', 'SQL parse error at bytes 1..2: m')", "('unsupported', 'unsupported SQL feature at bytes 1..2: m')", "('schema', 'schema error: m')", "('type', 'type error: m')", "('constraint', 'constraint violation: m')", "('corrupt_storage', 'corrupt database at byte 7: m')", "('regex_compile', 'generated regex could not be compiled: m')", "('regex_runtime', 'regex execution failed: m')", "('resource_limit', 'resource limit exceeded for m (limit: 3)')", "('allocation', 'allocation failed while m')", "('capacity', 'capacity exceeded while m')"))
+
+
 def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The demonstration's tables after all of its statements, those included that must fail."""
     from .presets import PRESETS, seeded
