@@ -66,6 +66,12 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Lets this session send Python at most BATCH_ROWS rows at a time from now on: batches of whole texts lie off the heap in every task."""
+    rows = int(spark.conf.get(ARROW_ROWS))
+    spark.conf.set(ARROW_ROWS, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
