@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import stored
+from ledgerline.llm.common import stored, text_batches
 from ledgerline.llm.decontaminate import decontaminated
 from ledgerline.llm.near_dedup import FIVE, deduplicated
 from ledgerline.llm.pieces import encoded
@@ -28,6 +28,7 @@ from ledgerline.llm.secrets import without_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)  # what a stage returns runs later, with the session's settings
     return accepted(docs)
 
 
